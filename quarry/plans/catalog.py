@@ -1,6 +1,6 @@
 """Imports every query module so their ``@register`` calls run."""
 
-from quarry.plans import entity_queries, text_queries, vector_queries  # noqa: F401
+from quarry.plans import adaptive_queries, entity_queries, text_queries, vector_queries  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -32,6 +32,8 @@ def get_session(master: str | None = None, app: str = "quarry",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    # only takes effect when this call starts the JVM (local runs, tests, bench)
+    conf.setdefault("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "12g"))
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
