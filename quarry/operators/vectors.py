@@ -40,6 +40,12 @@ class TfidfModel:
     vocab: DataFrame  # token, idf
     n_docs: int
 
+    def raw_terms(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """-> (id_col, token, w): tf * idf over known tokens, not normalised."""
+        toks = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
+        tf = toks.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+        return tf.join(self.vocab, "token").select(id_col, "token", (F.col("tf") * F.col("idf")).alias("w"))
+
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """-> (id_col, token, w): tf * idf over known tokens, L2-normalised per id."""
         toks = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
@@ -292,7 +298,7 @@ def relevance_search(subqueries: DataFrame, search, k: int, keys=("question_id",
 # --------------------------------------------------------------------------- B7
 
 
-NO_INFO_ANSWER = "I couldn't find relevant information in the knowledge base to answer this question."
+NO_INFO_ANSWER = "I don't have relevant information to answer this question."
 
 
 def min_similarity_gate(hits: DataFrame, questions: DataFrame, min_similarity: float = DEFAULT.min_similarity,
@@ -315,8 +321,10 @@ def min_similarity_gate(hits: DataFrame, questions: DataFrame, min_similarity: f
 
 def docset_terms(selected: DataFrame, kb_terms: DataFrame, set_key: str = "question_id",
                  kb_key: str = "doc_id") -> DataFrame:
-    """B8 (TF-IDF form): the embedding of the concatenated texts of a set equals the
-    normalised sum of its documents' raw term weights; -> (set_key, token, w)."""
+    """B8 (TF-IDF form): the embedding of the texts of a set joined by newlines equals
+    the normalised sum of its documents' raw (un-normalised) term weights
+    (``TfidfModel.raw_terms``); B9 is the same with one document per set.
+    -> (set_key, token, w)."""
     raw = selected.select(set_key, kb_key).join(kb_terms, kb_key).groupBy(set_key, "token").agg(
         F.sum("w").alias("w"))
     nrm = Window.partitionBy(set_key)

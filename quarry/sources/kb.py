@@ -27,7 +27,7 @@ def documents_kb(spark, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     name = first_words(F.col("text"))
     return d.select("doc_id", F.col("source").alias("type"), name.alias("name"), F.col("text").alias("content"),
-                    "lang", doc_key(F.col("source"), name, F.col("text")).alias("doc_key"))
+                    "lang", "source", doc_key(F.col("source"), name, F.col("text")).alias("doc_key"))
 
 
 def benchmark_questions(spark, sf: str) -> DataFrame:
