@@ -128,10 +128,10 @@ def q_closest_word(spark, sf):
 
 
 @register("match_custom_terms", SQL_OOV + """,
-tf AS (SELECT DISTINCT word AS cterm FROM forms),
-c AS (SELECT token, cterm, CASE WHEN upper(token) = upper(cterm) THEN 0 ELSE 1 END AS d FROM oov, tf
+tf AS (SELECT word AS cterm, min(CASE WHEN word = term THEN 0 ELSE 1 END) AS form FROM forms GROUP BY word),
+c AS (SELECT token, cterm, form, CASE WHEN upper(token) = upper(cterm) THEN 0 ELSE 1 END AS d FROM oov, tf
       WHERE upper(token) = upper(cterm) OR (length(cterm) >= 4 AND """ + S.char_levenshtein("upper(token)", "upper(cterm)") + """ = 1)),
-r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, cterm) AS rn FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, form, cterm) AS rn FROM c)
 SELECT token, cterm AS custom, d AS custom_distance FROM r WHERE rn = 1""")
 def q_match_custom_terms(spark, sf):
     """Custom-term matches (case-insensitive equal, or one edit from a term of 4+ chars)."""
