@@ -168,3 +168,58 @@ def q_relationship_questions(spark, sf):
     """Pairs sampled uniformly without listing all pairs; 3 templates each."""
     pairs = I.sample_relationship_pairs(entity_pool(spark, sf), target_questions=980)
     return I.relationship_questions(pairs).withColumn("ground_truth_docs", F.array_join("ground_truth_docs", "|"))
+
+
+# ---------------------------------------------------------------- A1-A5
+
+
+def dirty_part_lines(spark, sf):
+    """Dirty CSV lines derived from ``part``: quoted fields spanning lines, a blank
+    before quotes, list-like fields, long rows and short rows."""
+    from quarry.sources.tables import table
+    p = table(spark, sf, "part")
+    shape = F.pmod(F.col("p_partkey"), F.lit(3))
+    base = F.concat(F.col("p_partkey").cast("string"), F.lit(", "), F.col("p_name"))
+    full = F.concat(base, F.lit(', "[""'), F.col("p_brand"), F.lit('""]", "'), F.col("p_brand"),
+                    F.lit("\n   size "), F.col("p_size").cast("string"), F.lit('"'))
+    line = (F.when(shape == 0, full).when(shape == 1, F.concat(full, F.lit(", extra one, extra two")))
+            .otherwise(base))
+    return p.select(line.alias("value"))
+
+
+@register("csv_roundtrip", """
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name,
+       CASE WHEN p_partkey % 3 = 2 THEN '' ELSE '[' || p_brand || ']' END AS aliases,
+       CASE p_partkey % 3 WHEN 0 THEN p_brand || ' size ' || CAST(p_size AS VARCHAR)
+                          WHEN 1 THEN p_brand || ' size ' || CAST(p_size AS VARCHAR) || ', extra one, extra two'
+                          ELSE '' END AS explanation
+FROM part""")
+def q_csv_roundtrip(spark, sf):
+    """A1-A5: dirty CSV written from ``part`` (a header per file) into the shared
+    checkpoint folder, read back with the dirty-CSV reader, cleaned, written as clean
+    CSV (A4) by ``clean_all`` (A5) and read again."""
+    import uuid
+
+    import pandas as pd
+
+    from quarry.session import ensure_checkpoint_dir
+    from quarry.sources import csv_clean as CSV
+
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-roundtrip-{uuid.uuid4().hex[:12]}"
+    header = "id, name, aliases, explanation"
+
+    def with_header(batches):
+        first = True
+        for b in batches:
+            if first:
+                b = pd.concat([pd.DataFrame({"value": [header]}), b], ignore_index=True)
+                first = False
+            yield b
+
+    dirty_part_lines(spark, sf).mapInPandas(with_header, "value string").write.mode("overwrite").text(f"{run}/raw")
+    status = CSV.clean_all(spark, {"part": f"{run}/raw"}, f"{run}/clean").first()
+    if not status.ok:
+        raise RuntimeError("csv cleaning failed")
+    back = spark.read.option("header", True).option("escape", "\\").csv(status.out_path)
+    # the CSV sink writes "" as an empty field, which the reader returns as null
+    return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("id", "name", "aliases", "explanation")])

@@ -36,3 +36,11 @@ def test_assemble_kpi_layout(spark):
 def test_infer_table_type(spark):
     df = spark.createDataFrame([("clean_KPIs.csv",), ("clean_BSC_subfamilies.csv",), ("x.csv",)], "f string")
     assert [r[0] for r in df.select(infer_table_type("f")).collect()] == ["KPI", "BSC Subfamily", "Unknown"]
+
+
+def test_read_dirty_csv_ragged_golden(spark, tmp_path):
+    from quarry.sources.csv_clean import read_dirty_csv
+    p = tmp_path / "t.csv"
+    p.write_text('name, a, b\nAlpha, x, one, two, three\n\nGam, only\nBeta, "multi\n   line", ["p", "q"]\n')
+    rows = [tuple(r) for r in read_dirty_csv(spark, str(p)).collect()]
+    assert rows == [("Alpha", "x", "one, two, three"), ("Gam", "only", ""), ("Beta", "multi line", "[p, q]")]
