@@ -3,8 +3,6 @@ and generated entity questions against the entity KB."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluate as J
@@ -17,23 +15,19 @@ from quarry.plans.registry import register, rounded
 from quarry.sources.kb import benchmark_questions, documents_kb, verbatim_gold
 from quarry.sources import entities as A
 
-SQL_C1 = r"""
+def _sql_c1() -> str:
+    from quarry.operators import questions as C
+    from quarry.plans import sqlgen as S
+    return f"""
 WITH q AS (SELECT item_id AS question_id, text AS question FROM benchmark),
-caps AS (SELECT question_id, list_filter(regexp_extract_all(question, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'),
-                lambda m: NOT list_contains(['explain', 'how', 'what', 'the', 'in'], lower(m))) AS c FROM q),
-bt AS (SELECT question_id,
-              regexp_extract_all(question, '(?i)between\s+(.+?)\s+and\s+(.+?)(?:\s+(?:in|when|while|for)|[?.!,;]|$)', 1) AS b1,
-              regexp_extract_all(question, '(?i)between\s+(.+?)\s+and\s+(.+?)(?:\s+(?:in|when|while|for)|[?.!,;]|$)', 2) AS b2,
-              regexp_extract_all(question, '(?i)\b(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\s+(?:in|when|while|for)|[?.!,;]|$)', 1) AS v1,
-              regexp_extract_all(question, '(?i)\b(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\s+(?:in|when|while|for)|[?.!,;]|$)', 2) AS v2
-       FROM q),
-al AS (SELECT caps.question_id, c || flatten(list_transform(range(1, len(b1) + 1), lambda i: [b1[i], b2[i]]))
-                                    || flatten(list_transform(range(1, len(v1) + 1), lambda i: [v1[i], v2[i]])) AS a
-       FROM caps JOIN bt USING (question_id))
-SELECT question_id, array_to_string(list_filter(a, lambda e, i: NOT list_contains(list_transform(a[1:i-1], lambda x: lower(x)), lower(e))
-       AND NOT list_contains(['if','when','where','then','else','while','for','compare','explain','describe','what','how','why','which','tell','show','define'], lower(e))), '|') AS entities
-FROM al
-"""
+a AS (SELECT question_id, question, {S.entities_sql('question')} AS al FROM q),
+e AS (SELECT question_id, question, {S.dedup_entities_sql('al')} AS ents FROM a)
+SELECT question_id, array_to_string(ents, '|') AS entities,
+       array_to_string(regexp_extract_all(question, '"([^"]+)"', 1), '|') AS quoted,
+       len(list_filter({S._sql_list(C.RELATION_MARKERS)}, lambda m: contains(lower(question), m))) > 0 AS is_relation,
+       (len(list_filter({S._sql_list(C.COMPLEX_WORDS)}, lambda w: contains(lower(question), w))) > 0
+        OR len(ents) > 2) AS is_complex
+FROM e"""
 
 
 def bench_kb(spark, sf):
@@ -47,7 +41,7 @@ def bench_run(spark, sf, **kw):
 # ---------------------------------------------------------------- C1, C2, C4, C8, C9
 
 
-@register("extract_entities")
+@register("extract_entities", _sql_c1())
 def q_extract_entities(spark, sf):
     """C1 (+C4, C8, C9) on benchmark items and on generated relationship-style text."""
     q = benchmark_questions(spark, sf)
@@ -68,13 +62,47 @@ def q_extract_anchors(spark, sf):
 # ---------------------------------------------------------------- E
 
 
-@register("fan_out")
+def _sql_fan_out() -> str:
+    from quarry.plans import sqlgen as S
+    quoted = f"list_filter(list_transform(regexp_extract_all(question, '\"([^\"]+)\"', 1), lambda t: {S.strip_ws('t')}), lambda t: t <> '')"
+    nb = "list_filter(ents || qd, lambda t: t <> '')"
+    return f"""
+WITH q AS (SELECT item_id AS question_id, text AS question FROM benchmark),
+a AS (SELECT question_id, question, {S.entities_sql('question')} AS al FROM q),
+e AS (SELECT question_id, question, {S.dedup_entities_sql('al')} AS ents, {quoted} AS qd FROM a),
+l AS (SELECT question_id, 'full' AS list_name, [question] AS texts FROM e
+      UNION ALL SELECT question_id, 'entity', flatten(list_transform(ents, lambda x: [x, x || '.'])) FROM e
+      UNION ALL SELECT question_id, 'name_boost',
+                list_filter({nb}, lambda t, i: NOT list_contains(({nb})[1:i - 1], t)) FROM e),
+fo AS (SELECT question_id, list_name, CAST(unnest(generate_series(0, len(texts) - 1)) AS INTEGER) AS subq_no,
+              unnest(texts) AS text FROM l)
+"""
+
+
+def _sql_search_lists() -> str:
+    from quarry.plans.text_queries import SQL_KB, SQL_TFIDF, TOKEN_SQL
+    return SQL_TFIDF + "," + _sql_fan_out().strip()[len("WITH "):] + "," + SQL_KB + f""",
+st AS (SELECT question_id, list_name, subq_no, unnest({TOKEN_SQL.format(c='text')}) AS token FROM fo),
+stf AS (SELECT question_id, list_name, subq_no, token, count(*) AS tf FROM st GROUP BY ALL),
+sw0 AS (SELECT question_id, list_name, subq_no, token, tf * idf AS w FROM stf JOIN voc USING (token)),
+sw AS (SELECT question_id, list_name, subq_no, token,
+              w / sqrt(sum(w * w) OVER (PARTITION BY question_id, list_name, subq_no)) AS w FROM sw0),
+ss AS (SELECT question_id, list_name, subq_no, doc_id, sum(sw.w * dw.w) AS score FROM sw JOIN dw USING (token)
+       GROUP BY ALL),
+sr AS (SELECT *, row_number() OVER (PARTITION BY question_id, list_name, subq_no
+                                    ORDER BY round(score, 9) DESC, doc_id) AS rn FROM ss)
+SELECT sr.question_id, sr.list_name, sr.subq_no, sr.doc_id, kbk.doc_key, round(sr.score, 6) AS score,
+       CAST(sr.rn - 1 AS INTEGER) AS rank0
+FROM sr JOIN kbk USING (doc_id) WHERE sr.rn <= 30"""
+
+
+@register("fan_out", _sql_fan_out() + " SELECT question_id, list_name, subq_no, text FROM fo")
 def q_fan_out(spark, sf):
     """Sub-queries (full, entity, name_boost) of every benchmark item."""
     return E.fan_out(benchmark_questions(spark, sf)).drop("list_order")
 
 
-@register("search_lists")
+@register("search_lists", _sql_search_lists())
 def q_search_lists(spark, sf):
     """One search over all sub-queries, k = max(k_init, pool_cap)."""
     return rounded(bench_run(spark, sf, checkpoint=False).hits.drop("list_order"))
@@ -187,15 +215,12 @@ def entity_kb(spark, sf):
 
 @register("run_evaluation_entities")
 def q_run_evaluation_entities(spark, sf):
-    """J16 on the entity KB: generated relationship questions (sampled, I11) and
-    entity-name typo questions of the small entity kinds, through G11."""
+    """J16 on the entity KB: generated relationship questions (sampled, I11) and the
+    entity-name typo variant of every direct question, through G11."""
     from quarry.operators import generate as I
-    from quarry.plans.entity_queries import entity_pool
+    from quarry.plans.entity_queries import direct_questions_all, entity_pool
     rel = I.relationship_questions(I.sample_relationship_pairs(entity_pool(spark, sf)))
-    direct = reduce(lambda a, b: a.unionByName(b), [
-        I.number_questions(I.direct_questions(A.ENTITY_SOURCES[k][0](spark, sf), k))
-        for k in ("BSC Family", "BSC Subfamily", "Criteria")])
-    typo = I.entity_name_typo(direct).select("question_id", "question", "ground_truth_docs")
+    typo = I.entity_name_typo(direct_questions_all(spark, sf)).select("question_id", "question", "ground_truth_docs")
     qs = rel.select("question_id", "question", "ground_truth_docs").unionByName(typo)
     kb = entity_kb(spark, sf)
     res = P.retrieve_adaptive(qs.select("question_id", "question"), kb)

@@ -181,13 +181,31 @@ def multi_questions(spark, sf):
     return p.select(F.col("p_partkey").alias("question_id"), q.alias("question"))
 
 
-@register("detect_multi_question")
+SQL_MQ = """
+mq AS (SELECT p_partkey AS question_id, CASE p_partkey % 6
+    WHEN 0 THEN 'What is ' || p_name || '?'
+    WHEN 1 THEN 'What is ' || p_name || '? What does ' || p_name || ' measure?'
+    WHEN 2 THEN 'What is ' || p_name || '? And how is ' || p_brand || ' related to it'
+    WHEN 3 THEN '- What is ' || p_name || chr(10) || '- Explain ' || p_brand
+    WHEN 4 THEN 'Compare ' || p_name || ' versus ' || p_brand || '? Which is larger?'
+    ELSE 'What is ' || p_name || '; define ' || p_brand || '; explain ' || p_name || '?' END AS question FROM part)
+"""
+SQL_MQ_SPLIT = "WITH " + SQL_MQ.strip() + f""",
+sp AS (SELECT question_id, question, {S.detect_sql('question')} AS multi, {S.split_sql('question')} AS parts FROM mq),
+dc AS (SELECT question_id, CASE WHEN multi THEN 'multi' ELSE 'single' END AS mode,
+              CASE WHEN multi THEN parts[1:3] ELSE [question] END AS subs FROM sp)
+"""
+
+
+@register("detect_multi_question", SQL_MQ_SPLIT + " SELECT question_id, multi FROM sp")
 def q_detect_multi_question(spark, sf):
     """Multi-question flag."""
     return multi_questions(spark, sf).select("question_id", C.detect_multi_question(F.col("question")).alias("multi"))
 
 
-@register("split_questions")
+@register("split_questions", SQL_MQ_SPLIT + """
+SELECT question_id, CAST(unnest(generate_series(0, len(parts) - 1)) AS INTEGER) AS part_no, unnest(parts) AS part
+FROM sp""")
 def q_split_questions(spark, sf):
     """C11: candidate splits (max_parts 5)."""
     return multi_questions(spark, sf).select("question_id", F.posexplode(
@@ -206,13 +224,18 @@ def q_parse_subquestion_json(spark, sf):
         "sub_no", "sub_question"))
 
 
-@register("decompose")
+@register("decompose", SQL_MQ_SPLIT + """
+SELECT question_id, mode, CAST(unnest(generate_series(0, len(subs) - 1)) AS INTEGER) AS sub_no,
+       unnest(subs) AS sub_question FROM dc""")
 def q_decompose(spark, sf):
     """Sub-questions (at most 3) with the mode flag."""
     return C.decompose(multi_questions(spark, sf))
 
 
-@register("decomposition_report")
+@register("decomposition_report", SQL_MQ_SPLIT + """
+SELECT question_id, mode, sub_no, substr(sub_question, 1, 80) AS preview FROM (
+  SELECT question_id, mode, CAST(unnest(generate_series(0, len(subs) - 1)) AS INTEGER) AS sub_no,
+         unnest(subs) AS sub_question FROM dc)""")
 def q_decomposition_report(spark, sf):
     """C14: 80-character previews per sub-question."""
     return C.decomposition_report(C.decompose(multi_questions(spark, sf)))

@@ -87,3 +87,85 @@ def char_levenshtein(a: str, b: str) -> str:
 
 def _ctrl_literal() -> str:
     return " || ".join(f"chr({ord(c)})" for c in _CONTROL)
+
+
+# ---------------------------------------------------------------- question analysis
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def sql_strip(x: str) -> str:
+    return strip_ws(x)
+
+
+def entities_sql(q: str) -> str:
+    """C1 over the text column ``q``: a DuckDB list expression."""
+    from quarry.operators import questions as C
+    # RE2's \\b is ASCII-only; Java's and Python's count accented letters as word
+    # characters. '_' is a word character in every engine and never part of a match.
+    q_ascii = f"translate({q}, '{NON_ASCII_LETTERS}', '{'_' * len(NON_ASCII_LETTERS)}')"
+    caps = (f"list_filter(regexp_extract_all({q_ascii}, '{C.CAPITALISED_RUN}'), "
+            f"lambda m: NOT list_contains({_sql_list(C.CAPITALISED_STOP)}, lower(m)))")
+
+    def pairs(p):
+        return (f"flatten(list_transform(range(1, len(regexp_extract_all({q}, '{p}', 1)) + 1), lambda i: "
+                f"[regexp_extract_all({q}, '{p}', 1)[i], regexp_extract_all({q}, '{p}', 2)[i]]))")
+
+    def clean(e):
+        return strip_ws(f"regexp_replace({strip_ws(e)}, '{C.TRAILING_CONNECTIVE}', '')")
+
+    between = f"list_filter(list_transform({pairs(C.BETWEEN_C1)}, lambda e: {clean('e')}), lambda e: e <> '')"
+    vs = (f"list_filter(list_transform({pairs(C.VS_C1)}, lambda e: {clean('e')}), "
+          f"lambda e: e <> '' AND len(string_split_regex({strip_ws('e')}, '\\s+')) <= 5)")
+    return f"({caps} || {between} || {vs})"
+
+
+def dedup_entities_sql(all_list: str) -> str:
+    from quarry.operators import questions as C
+    return (f"list_filter({all_list}, lambda e, i: NOT list_contains(list_transform({all_list}[1:i - 1], "
+            f"lambda x: lower(x)), lower(e)) AND NOT list_contains({_sql_list(C.NOISE_WORDS)}, lower(e)))")
+
+
+# ---------------------------------------------------------------- decomposition
+
+def _t(q: str) -> str:
+    return strip_ws(f"substr({q}, 1, 6000)")
+
+
+def detect_sql(q: str) -> str:
+    from quarry.operators import decompose as D
+    t = _t(q)
+    lines = f"string_split({t}, chr(10))"
+    qmarks = f"(length({t}) - length(replace({t}, '?', '')))"
+    conj = f"regexp_matches({t}, '{D.CONJUNCTION_DETECT}')"
+    bullets = (f"(len(list_filter({lines}, lambda ln: regexp_matches(ln, '{D.BULLET_LINE[0]}') OR "
+               f"regexp_matches(ln, '{D.BULLET_LINE[1]}'))) > 0)")
+    clauses = f"flatten(list_transform({lines}, lambda ln: list_transform(string_split(ln, ';'), lambda c: {strip_ws('c')})))"
+    q_clauses = f"len(list_filter({clauses}, lambda c: c LIKE '%?'))"
+    semi = f"len(list_filter(list_transform(string_split({t}, ';'), lambda p: {strip_ws('p')}), lambda p: p <> ''))"
+    analytical = f"(len(list_filter({_sql_list(D.ANALYTICAL_KEYWORDS)}, lambda k: contains(lower({t}), k))) > 0)"
+    return (f"((({qmarks} >= 2) AND NOT ({analytical} AND {qmarks} = 2)) OR {bullets} OR ({q_clauses} >= 2) OR "
+            f"(({semi} >= 2) AND contains({t}, '?')) OR {conj})")
+
+
+def split_sql(q: str, max_parts: int = 5) -> str:
+    from quarry.operators import decompose as D
+    t = _t(q)
+    parts = f"string_split_regex({t}, '{D.CONJUNCTION_SPLIT}')"
+    conj_splits = (f"([{strip_ws(f'{parts}[1]')}] || list_transform({parts}[2:], lambda p: CASE WHEN "
+                   f"{strip_ws('p')} LIKE '%?' THEN {strip_ws('p')} ELSE {strip_ws('p')} || '?' END))")
+    use_conj = f"(regexp_matches({t}, '{D.CONJUNCTION_SPLIT}') AND len({parts}) > 1)"
+    q_parts = f"list_transform(list_filter(string_split({t}, '?'), lambda p: {strip_ws('p')} <> ''), lambda p: {strip_ws('p')} || '?')"
+    lines = f"list_transform(string_split({t}, chr(10)), lambda ln: {strip_ws('ln')})"
+    markers = " OR ".join(f"contains(ln, '{m}')" for m in D.LINE_MARKERS)
+    marked = f"list_filter({lines}, lambda ln: ln <> '' AND (ln LIKE '%?' OR {markers}))"
+    cleaned = (f"list_filter(list_transform({marked}, lambda ln: regexp_replace(regexp_replace(ln, '^\\s*[-•]\\s*', ''), "
+               f"'^\\s*\\d+[\\.)]\\s*', '')), lambda ln: ln <> '')")
+    fallback = (f"list_filter(list_transform(string_split(replace({t}, ';', chr(10)), chr(10)), lambda p: {strip_ws('p')}), "
+                f"lambda p: p <> '')")
+    other = f"(CASE WHEN len({q_parts}) > 1 THEN {q_parts} WHEN len({cleaned}) > 0 THEN {cleaned} ELSE {fallback} END)"
+    capped = (f"(CASE WHEN len({other}) > {max_parts} THEN {other}[1:{max_parts - 1}] || "
+              f"['Additionally: ' || array_to_string({other}[{max_parts}:], '; ')] ELSE {other} END)")
+    out = f"(CASE WHEN {use_conj} THEN {conj_splits}[1:{max_parts}] ELSE {capped} END)"
+    return f"(CASE WHEN len({out}) > 0 THEN {out} ELSE [{t}] END)"
