@@ -108,6 +108,47 @@ def q_search_lists(spark, sf):
     return rounded(bench_run(spark, sf, checkpoint=False).hits.drop("list_order"))
 
 
+def _sql_weighted_fusion() -> str:
+    from quarry.config import DEFAULT as cfg
+    from quarry.plans import sqlgen as S
+    base = _sql_search_lists()
+    base = base[:base.index("SELECT sr.question_id, sr.list_name")].rstrip()
+    rel_w = " ".join(f"WHEN '{k}' THEN {v}" for k, v in cfg.relation_weights.items())
+    dfl_w = " ".join(f"WHEN '{k}' THEN {v}" for k, v in cfg.default_weights.items())
+    return base + f""",
+h AS (SELECT sr.question_id, sr.list_name, kbk.doc_key, sr.score, sr.rn - 1 AS rank0
+      FROM sr JOIN kbk USING (doc_id) WHERE sr.rn <= 30),
+rp AS (SELECT item_id AS question_id,
+              len(list_filter({S._sql_list(C.RELATION_MARKERS)}, lambda m: contains(lower(text), m))) > 0 AS relation
+       FROM benchmark),
+b AS (SELECT question_id, list_name, doc_key, greatest(max(score), 0.0) AS s FROM h GROUP BY ALL),
+nm AS (SELECT *, CASE WHEN mx > mn THEN (s - mn) / (mx - mn) ELSE 0.0 END AS ns
+       FROM (SELECT *, min(s) OVER (PARTITION BY question_id, list_name) AS mn,
+                       max(s) OVER (PARTITION BY question_id, list_name) AS mx FROM b)),
+wf AS (SELECT nm.question_id, doc_key,
+              sum(CASE WHEN relation THEN (CASE list_name {rel_w} ELSE 1.0 END)
+                       ELSE (CASE list_name {dfl_w} ELSE 1.0 END) END * ns) AS wsum,
+              array_to_string(list_sort(list_distinct(list(list_name))), ',') AS lists
+       FROM nm JOIN rp USING (question_id) GROUP BY nm.question_id, doc_key),
+rr AS (SELECT question_id, doc_key, sum({cfg.rrf_weight} / ({cfg.rrf_k} + rank0 + 1)) AS rrf FROM h GROUP BY ALL)
+SELECT question_id, doc_key, round(wsum + 1e-12, 6) AS wsum, round(rrf + 1e-12, 6) AS rrf, lists
+FROM wf JOIN rr USING (question_id, doc_key)"""
+
+
+@register("weighted_fusion", _sql_weighted_fusion())
+def q_weighted_fusion(spark, sf):
+    """Per-list best score (floor 0), min-max normalisation, profile weights,
+    and the RRF term, per (question, document)."""
+    hits = bench_run(spark, sf, checkpoint=False).hits
+    qs = benchmark_questions(spark, sf)
+    wf = E.weighted_fusion(E.normalised_lists(hits), qs)
+    # RRF terms include 1/128 and 1/160, so sums can sit exactly on a half at the 6th
+    # decimal; a 1e-12 nudge on both sides keeps engines from rounding opposite ways
+    return wf.join(E.rrf_term(hits), ["question_id", "doc_key"]).select(
+        "question_id", "doc_key", F.round(F.col("wsum") + 1e-12, 6).alias("wsum"),
+        F.round(F.col("rrf") + 1e-12, 6).alias("rrf"), F.array_join(F.array_sort("lists"), ",").alias("lists"))
+
+
 @register("fusion")
 def q_fusion(spark, sf):
     """The fused pool (<= pool_cap per question) with provenance."""
