@@ -136,3 +136,87 @@ def is_complex(q, entities) -> Column:
     ql = F.lower(F.col(q) if isinstance(q, str) else q)
     ents = F.col(entities) if isinstance(entities, str) else entities
     return F.exists(_lit_array(COMPLEX_WORDS), lambda w: ql.contains(w)) | (F.size(ents) > 2)
+
+
+# ---- fixed values: extended anchor extraction (C3, shadowed by C2 in the reference)
+CAPITALISED_PHRASE = r"\b[A-Z][a-z]*(?:\s+(?:of|on|in|for|and|to|the)?\s*[A-Z]?[a-z]*)*\b"
+C3_CAP_STOP = ["explain", "how", "what", "when", "where", "why", "the", "in", "of", "for", "and", "or"]
+C3_BETWEEN = r"between\s+([^.?,;!]+?)\s+and\s+([^.?,;!]+?)(?:\s+(?:in|for|when|while|during)|[.?,;!]|$)"
+C3_TRADEOFF = r"trade[\s-]?off?s?\s+between\s+([^.?,;!]+?)\s+and\s+([^.?,;!]+?)(?:\s|[.?,;!]|$)"
+C3_VS = r"\b([^.?,;!\s]+(?:\s+[^.?,;!\s]+)*)\s+(?:vs\.?|versus)\s+([^.?,;!\s]+(?:\s+[^.?,;!\s]+)*)"
+C3_OR = r"\b([^.?,;!\s]+(?:\s+[^.?,;!\s]+)*)\s+or\s+([^.?,;!\s]+(?:\s+[^.?,;!\s]+)*)"
+C3_COMPARISON = ["compare", "difference", "choose", "decision", "trade-off", "versus", "between"]
+C3_INDICATORS = ["quality", "cost", "value", "performance", "efficiency", "accuracy", "speed", "reliability",
+                 "availability"]
+C3_INDICATOR_STOP = ["the", "a", "an", "and", "or", "in", "of", "for"]
+C3_BLACKLIST = ["how", "what", "when", "where", "why", "which", "who", "whom", "whose",
+                "explain", "describe", "define", "tell", "show", "give", "provide",
+                "analyze", "compare", "evaluate", "assess",
+                "the", "a", "an", "and", "or", "but", "with", "without", "between",
+                "in", "on", "at", "to", "for", "of", "from", "by", "about", "into",
+                "good", "bad", "best", "worst", "better", "worse", "new", "old",
+                "terms", "context", "perspective", "relation", "relationship",
+                "i", "me", "my", "we", "us", "our", "you", "your",
+                "vs", "versus"]
+C3_DOMAIN_KEYWORDS = ["accuracy", "adaptability", "accessibility", "access cost", "data quality", "data monetization",
+                      "completeness", "consistency", "precision", "reliability", "scalability", "performance",
+                      "cost", "value", "efficiency", "roi", "return on investment"]
+WORD = r"[\p{L}\p{N}_]"
+
+
+def extract_anchors_extended(df: DataFrame, text_col: str = "question", out: str = "anchors_ext",
+                             known: DataFrame | None = None) -> DataFrame:
+    """Quoted spans, capitalised phrases, between / trade-off / vs / (comparison)
+    or sides, known entities, indicator contexts when fewer than two were found;
+    normalised, blacklist and > 4-word anchors dropped, domain keywords added.
+    ``known`` (name column) is matched by an n-gram equi-join (1-5 words) on the
+    question, then verified (a word for one-word names, a substring otherwise)."""
+    q = F.col(text_col)
+    ql_name, q_name = f"_{out}_ql", f"_{out}_raw"
+    df = df.withColumn(ql_name, F.lower(q))
+    ql = F.col(ql_name)
+    quoted = F.transform(F.filter(quoted_phrases(q), lambda t: _strip(t) != ""), lambda t: F.lower(_strip(t)))
+    caps = F.transform(F.filter(F.transform(F.regexp_extract_all(q, F.lit(CAPITALISED_PHRASE), 0), _strip),
+                                lambda m: ~F.array_contains(_lit_array(C3_CAP_STOP), F.lower(m)) & (F.length(m) > 1)),
+                       F.lower)
+    between = F.transform(_pairs(ql, C3_BETWEEN), lambda e: _strip(F.regexp_replace(F.regexp_replace(
+        _strip(e), r"^(the|a|an)\s+", ""), r"\s+(in|for|when|while|during|with).*$", "")))
+    tradeoff = F.transform(_pairs(ql, C3_TRADEOFF), lambda e: _strip(F.regexp_replace(_strip(e), r"^(the|a|an)\s+", "")))
+    vs = F.transform(_pairs(ql, C3_VS), _strip)
+    comparison = F.exists(_lit_array(C3_COMPARISON), lambda k: ql.contains(k))
+    ors = F.filter(F.transform(_pairs(ql, C3_OR), _strip), lambda e: (F.size(F.split(e, r"\s+")) <= 3) & F.exists(
+        F.split(e, r"\s+"), lambda w: (w != "") & (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))))
+    ors = F.when(comparison, ors).otherwise(F.array().cast("array<string>"))
+    structural = F.filter(F.concat(between, tradeoff, vs, ors), lambda e: (e != "") & (F.length(e) > 1))
+    df = df.withColumn(q_name, F.array_distinct(F.concat(quoted, caps, structural)))
+    if known is not None:
+        words = F.split(ql, r"\s+")
+        toks = F.regexp_extract_all(ql, F.lit(r"[\p{L}\p{N}]+"), 0)
+        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.flatten(F.array(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
+                        lambda i: F.array_join(F.slice(words, i, n), " ")),
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))),
+                        lambda i: F.array_join(F.slice(toks, i, n), " "))))))
+        names = known.select(F.lower(F.col("name")).alias("kn")).where(F.col("kn") != "").distinct()
+        qg = df.select("question_id", ql_name, F.explode(F.array_distinct(grams)).alias("kn"))
+        hit = qg.join(names, "kn").where(
+            F.when(F.size(F.split("kn", " ")) == 1, F.array_contains(F.split(F.col(ql_name), r"\s+"), F.col("kn")))
+            .otherwise(F.col(ql_name).contains(F.col("kn"))))
+        kn = hit.groupBy("question_id").agg(F.collect_set("kn").alias("_kn"))
+        df = df.join(kn, "question_id", "left").withColumn(
+            q_name, F.array_distinct(F.concat(F.col(q_name), F.coalesce("_kn", F.array().cast("array<string>")))))
+        df = df.drop("_kn")
+    ctx = []
+    for ind in C3_INDICATORS:
+        pat = rf"({WORD}+(?:\s+{WORD}+)?)\s+{ind}|{ind}\s+({WORD}+(?:\s+{WORD}+)?)"
+        grp = F.concat(F.regexp_extract_all(ql, F.lit(pat), 1), F.regexp_extract_all(ql, F.lit(pat), 2))
+        ctx.append(F.when(ql.contains(ind), grp).otherwise(F.array().cast("array<string>")))
+    ctx_all = F.filter(F.transform(F.flatten(F.array(*ctx)), _strip),
+                       lambda g: (F.length(g) > 1) & ~F.array_contains(_lit_array(C3_INDICATOR_STOP), g))
+    raw = F.when(F.size(q_name) < 2, F.concat(F.col(q_name), ctx_all)).otherwise(F.col(q_name))
+    norm = F.transform(raw, lambda a: F.regexp_replace(F.regexp_replace(_strip(F.lower(a)), r"\s+", " "),
+                                                       rf"^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$", ""))
+    kept = F.filter(norm, lambda a: (a != "") & ~F.array_contains(_lit_array(C3_BLACKLIST), a) &
+                    (F.size(F.split(a, " ")) <= 4))
+    domain = F.filter(_lit_array(C3_DOMAIN_KEYWORDS), lambda k: ql.contains(k))
+    return df.withColumn(out, F.array_sort(F.array_distinct(F.concat(kept, domain)))).drop(ql_name, q_name)

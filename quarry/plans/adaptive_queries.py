@@ -59,6 +59,17 @@ def q_extract_anchors(spark, sf):
         "question_id", F.array_join("anchors", "|").alias("anchors"))
 
 
+@register("extract_anchors_extended")
+def q_extract_anchors_extended(spark, sf):
+    """Extended anchors of the multi-question texts, with the part names as the
+    known-entity table (n-gram equi-join)."""
+    from quarry.plans.language_queries import multi_questions
+    from quarry.sources.tables import table
+    known = table(spark, sf, "part").select(F.col("p_name").alias("name"))
+    return C.extract_anchors_extended(multi_questions(spark, sf), known=known).select(
+        "question_id", F.array_join("anchors_ext", "|").alias("anchors"))
+
+
 # ---------------------------------------------------------------- E
 
 

@@ -40,3 +40,13 @@ def test_parse_subquestion_json(spark):
                                "r string, q string")
     got = [r[0] for r in df.select(C.parse_subquestion_json(F.col("r"), F.col("q"))).collect()]
     assert got == [["x", "y"], ["What?", "Why?"]]
+
+
+def test_extract_anchors_extended(spark):
+    from quarry.operators.questions import extract_anchors_extended
+    q = spark.createDataFrame([(1, 'Compare the "Access Cost" of small ring between data quality and speed?')],
+                              "question_id int, question string")
+    known = spark.createDataFrame([("small ring",), ("zzz",)], "name string")
+    a = extract_anchors_extended(q, known=known).first().anchors_ext
+    assert "access cost" in a and "small ring" in a and "data quality" in a and "speed" in a
+    assert "compare" not in a and "zzz" not in a
