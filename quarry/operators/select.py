@@ -1,7 +1,8 @@
 """Adaptive selection, "step 3" (operators G1-G10).
 
 The selection is greedy and order dependent, but a question holds at most
-``pool_cap`` rows, so each question is one small pandas frame. All string work
+``pool_cap`` rows, so each question is one array row folded in Python, many
+questions per Arrow batch. All string work
 (name keys, entity matches, token estimates) is done in Spark SQL before the fold;
 the fold only sees numbers and booleans.
 """
@@ -44,14 +45,13 @@ def selection_inputs(final: DataFrame, questions: DataFrame, kb: DataFrame, cfg:
                     F.transform("anchors", lambda a: nm.contains(a)).alias("name_has"))
 
 
-def _select_one(pdf: pd.DataFrame, cfg: RetrievalConfig):
-    """G3-G8 for one question. Returns (chosen row indices in prob order, covered)."""
-    pdf = pdf.sort_values("final_rank", kind="mergesort").reset_index(drop=True)
-    n = len(pdf)
-    probs = pdf["prob"].to_numpy(dtype=float)
-    toks = pdf["tokens"].to_numpy(dtype=int)
-    anchors = list(pdf["anchors"].iloc[0]) if n else []
-    max_docs = int(pdf["max_docs"].iloc[0]) if n else cfg.max_docs_simple
+def _select_one(items: list, anchors: list, max_docs: int, cfg: RetrievalConfig):
+    """G3-G8 for one question; ``items`` are dicts in final order with keys prob,
+    tokens, key_match, name_has (per anchor). Returns (chosen indices in probability
+    order, covered anchors)."""
+    n = len(items)
+    probs = np.array([float(it["prob"]) for it in items], dtype=float)
+    toks = [int(it["tokens"]) for it in items]
     ps = np.sort(probs)[::-1]
     top1 = ps[0] if n else 0.0
     top2 = ps[1] if n > 1 else 0.0
@@ -65,20 +65,22 @@ def _select_one(pdf: pd.DataFrame, cfg: RetrievalConfig):
     for ai, a in enumerate(anchors):  # G4 anchor pass
         best_i, best_p = -1, -1.0
         for i in range(n):
-            if pdf["key_match"].iloc[i][ai] and probs[i] >= cfg.anchor_min_prob and probs[i] > best_p:
+            if items[i]["key_match"][ai] and probs[i] >= cfg.anchor_min_prob and probs[i] > best_p:
                 best_p, best_i = probs[i], i
         if best_i >= 0:
             if best_i in sel:
-                covered.append(a) if a not in covered else None
+                if a not in covered:
+                    covered.append(a)
             elif fits(best_i):
                 sel.append(best_i)
                 total += toks[best_i]
-                covered.append(a) if a not in covered else None
+                if a not in covered:
+                    covered.append(a)
     for ai, a in enumerate(anchors):  # G5 force a document for uncovered entities
         if a in covered:
             continue
         for i in range(n):
-            if i not in sel and pdf["name_has"].iloc[i][ai] and fits(i):
+            if i not in sel and items[i]["name_has"][ai] and fits(i):
                 sel.append(i)
                 total += toks[i]
                 covered.append(a)
@@ -98,34 +100,51 @@ def _select_one(pdf: pd.DataFrame, cfg: RetrievalConfig):
             sel.append(i)
             total += toks[i]
         i += 1
-    sel = sorted(sel, key=lambda j: (-probs[j], pdf["final_rank"].iloc[j]))
-    return sel, covered
+    return sorted(sel, key=lambda j: -probs[j]), covered  # stable: ties keep selection order
 
 
 def adaptive_select(final: DataFrame, questions: DataFrame, kb: DataFrame, cfg: RetrievalConfig = DEFAULT
                     ) -> DataFrame:
     """Abstain gate, anchor pass, forced entity documents, mass fill, minimum
     documents; a document is never taken twice; result ordered by probability.
+    Each question's <= pool_cap rows become one array row; ``mapInPandas`` folds a
+    whole Arrow batch of questions per Python call.
     -> question_id, doc_key, doc_id, prob, tokens, sel_rank, covered."""
     inp = selection_inputs(final, questions, kb, cfg)
     qt = inp.schema["question_id"].dataType.simpleString()
     dt = inp.schema["doc_id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sel, covered = _select_one(pdf, cfg)
-        pdf = pdf.sort_values("final_rank", kind="mergesort").reset_index(drop=True)
-        if not sel:
-            return pd.DataFrame({"question_id": pd.Series([], dtype=pdf["question_id"].dtype), "doc_key": [],
-                                 "doc_id": pd.Series([], dtype=pdf["doc_id"].dtype), "prob": [], "tokens": [],
-                                 "sel_rank": [], "covered": []})
-        rows = pdf.iloc[sel]
-        return pd.DataFrame({"question_id": rows["question_id"].to_numpy(), "doc_key": rows["doc_key"].to_numpy(),
-                             "doc_id": rows["doc_id"].to_numpy(), "prob": rows["prob"].to_numpy(),
-                             "tokens": rows["tokens"].to_numpy(dtype=np.int32),
-                             "sel_rank": np.arange(1, len(sel) + 1, dtype=np.int32),
-                             "covered": [list(covered)] * len(sel)})
-
-    return inp.groupBy("question_id").applyInPandas(run, SELECT_SCHEMA.format(qt=qt, dt=dt))
+    per_q = inp.groupBy("question_id").agg(
+        F.first("anchors").alias("anchors"), F.first("max_docs").alias("max_docs"),
+        F.array_sort(F.collect_list(F.struct("final_rank", "doc_key", "doc_id", "prob", "tokens", "key_match",
+                                             "name_has"))).alias("items"))
+
+    def run(batches):
+        for pdf in batches:
+            cols = {k: [] for k in ("question_id", "doc_key", "doc_id", "prob", "tokens", "sel_rank", "covered")}
+            for qid, anchors, max_docs, items in zip(pdf["question_id"], pdf["anchors"], pdf["max_docs"],
+                                                     pdf["items"]):
+                items = list(items)
+                anchors = list(anchors) if anchors is not None else []
+                sel, covered = _select_one(items, anchors, int(max_docs), cfg)
+                for rank, i in enumerate(sel, 1):
+                    it = items[i]
+                    cols["question_id"].append(qid)
+                    cols["doc_key"].append(it["doc_key"])
+                    cols["doc_id"].append(it["doc_id"])
+                    cols["prob"].append(float(it["prob"]))
+                    cols["tokens"].append(int(it["tokens"]))
+                    cols["sel_rank"].append(rank)
+                    cols["covered"].append(list(covered))
+            yield pd.DataFrame({
+                "question_id": pd.Series(cols["question_id"], dtype=pdf["question_id"].dtype),
+                "doc_key": pd.Series(cols["doc_key"], dtype=object),
+                "doc_id": pd.Series(cols["doc_id"], dtype=object),
+                "prob": pd.Series(cols["prob"], dtype="float64"),
+                "tokens": pd.Series(cols["tokens"], dtype="int32"),
+                "sel_rank": pd.Series(cols["sel_rank"], dtype="int32"),
+                "covered": pd.Series(cols["covered"], dtype=object)})
+
+    return per_q.mapInPandas(run, SELECT_SCHEMA.format(qt=qt, dt=dt))
 
 
 def coverage_report(selected: DataFrame, questions: DataFrame) -> DataFrame:

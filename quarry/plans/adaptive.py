@@ -37,7 +37,7 @@ class KnowledgeBase:
                 docs = docs.withColumn(c, F.lit(None).cast("string"))
         tfidf = B.fit_tfidf(docs, "doc_id", "content", cfg)
         return cls(docs=docs, tfidf=tfidf, terms=tfidf.transform(docs, "doc_id", "content"),
-                   bm25=Fr.fit_bm25(docs))
+                   bm25=Fr.fit_bm25(docs, tfidf))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """queries (sq_key, text) -> (sq_key, rank, doc_id, score)."""
@@ -45,9 +45,10 @@ class KnowledgeBase:
         return B.topk_sparse(q_terms, self.terms, k, q_key="sq_key", kb_key="doc_id")
 
     def vectors_for(self, doc_ids: DataFrame, dim: int = DEFAULT.dense_dim) -> DataFrame:
-        """Dense hashed vectors of the given documents only."""
-        t = self.terms.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        return B.dense_from_terms(t, "doc_id", dim)
+        """Dense hashed vectors of the given documents only (weights depend only on the
+        document and the fitted vocabulary, so only these documents are tokenized)."""
+        d = self.docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        return B.dense_from_terms(self.tfidf.transform(d, "doc_id", "content"), "doc_id", dim)
 
 
 @dataclass

@@ -41,7 +41,8 @@ def custom_terms(spark, sf):
 
 
 def dictionary(spark, sf):
-    return D.build_dictionary(table(spark, sf, "documents"), "text", custom_terms(spark, sf))
+    from quarry.session import materialize
+    return materialize(D.build_dictionary(table(spark, sf, "documents"), "text", custom_terms(spark, sf)))
 
 
 # ---------------------------------------------------------------- A18, D1, D10
@@ -108,9 +109,9 @@ oov AS (SELECT token FROM w WHERE token <> '' AND NOT list_contains({_PROT_SQL},
 """
 
 
-def benchmark_oov(spark, sf):
+def benchmark_oov(spark, sf, d=None):
     w = D.split_words(benchmark_questions(spark, sf)).select("token").distinct()
-    d = dictionary(spark, sf)
+    d = d if d is not None else dictionary(spark, sf)
     return (w.where((F.col("token") != "") & ~D.is_protected(F.col("token")))
             .join(d.select(F.col("word").alias("token")), "token", "left_anti"))
 
@@ -124,7 +125,8 @@ SELECT token, word AS best, distance, freq AS best_freq FROM r WHERE rn = 1""")
 def q_closest_word(spark, sf):
     """Nearest dictionary word of every out-of-dictionary benchmark word
     (symmetric-delete join; the oracle is a brute-force scan)."""
-    return D.closest_words(benchmark_oov(spark, sf), dictionary(spark, sf))
+    d = dictionary(spark, sf)
+    return D.closest_words(benchmark_oov(spark, sf, d), d)
 
 
 @register("match_custom_terms", SQL_OOV + """,

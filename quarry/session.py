@@ -56,3 +56,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write a reusable artifact (fitted vocabulary, dictionary, search hits) once as a
+    reliable checkpoint in the shared checkpoint folder; later plans read it back
+    instead of recomputing its lineage, and a lost executor does not lose it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

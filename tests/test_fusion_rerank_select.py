@@ -37,27 +37,31 @@ def test_softmax_and_anchor_prior_golden(spark):
     assert abs(out["a"] - b[0] / sum(b)) < 1e-12 and abs(out["b"] - b[1] / sum(b)) < 1e-12
 
 
-def _frame(probs, tokens, anchors=(), complex_=False):
-    n = len(probs)
-    return pd.DataFrame({"question_id": [1] * n, "doc_key": [f"d{i}" for i in range(n)], "doc_id": list(range(n)),
-                         "prob": probs, "final_rank": list(range(1, n + 1)), "tokens": tokens,
-                         "anchors": [list(anchors)] * n,
-                         "max_docs": [5 if complex_ else 2] * n,
-                         "key_match": [[False] * len(anchors)] * n, "name_has": [[False] * len(anchors)] * n})
+def _items(probs, tokens, n_anchors=0):
+    return [{"prob": p, "tokens": t, "key_match": [False] * n_anchors, "name_has": [False] * n_anchors}
+            for p, t in zip(probs, tokens)]
 
 
 def test_abstain_gate_golden():
-    sel, _ = G._select_one(_frame([0.05] * 20, [10] * 20), DEFAULT)
+    sel, _ = G._select_one(_items([0.05] * 20, [10] * 20), [], 2, DEFAULT)
     assert sel == []
-    sel, _ = G._select_one(_frame([1 / 3] * 3, [10] * 3), DEFAULT)
+    sel, _ = G._select_one(_items([1 / 3] * 3, [10] * 3), [], 2, DEFAULT)
     assert sel != []
 
 
 def test_adaptive_select_token_budget_golden():
-    sel, _ = G._select_one(_frame([0.5, 0.3, 0.1], [900, 1500, 900], complex_=True), DEFAULT)
+    sel, _ = G._select_one(_items([0.5, 0.3, 0.1], [900, 1500, 900]), [], 5, DEFAULT)
     assert sel == [0, 2]
 
 
+def test_anchor_pass_and_forced_entity():
+    items = [{"prob": 0.6, "tokens": 10, "key_match": [False, False], "name_has": [False, False]},
+             {"prob": 0.3, "tokens": 10, "key_match": [True, False], "name_has": [True, False]},
+             {"prob": 0.1, "tokens": 10, "key_match": [False, False], "name_has": [False, True]}]
+    sel, covered = G._select_one(items, ["a", "b"], 2, DEFAULT)
+    assert sel == [1, 2] and covered == ["a", "b"]
+
+
 def test_mmr_is_permutation(spark):
     import numpy as np
     rng = np.random.default_rng(0)
