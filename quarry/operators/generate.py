@@ -10,8 +10,6 @@ the sampled entities, and the final draw orders them by hash.
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,27 +126,22 @@ def sample_relationship_pairs(entities: DataFrame, target_questions: int = 980,
         F.col("a.type").alias("type1"), F.col("a.ek").alias("ek1"), F.col("a.name").alias("name1"),
         F.col("b.type").alias("type2"), F.col("b.ek").alias("ek2"), F.col("b.name").alias("name2"),
         F.lit(-1).alias("draw"))
-    cross_parts = []
-    for i, t1 in enumerate(types):
-        for t2 in types[i + 1:]:
-            m = min(10, counts[t1], counts[t2])
-            if m == 0:
-                continue
-            draws = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-            side = []
-            for t in (t1, t2):
-                s = (e.where(F.col("type") == t).select("type", "ek", "name", draws.alias("draw"))
-                     .withColumn("h", hash_unit(F.lit(str(seed)), F.lit(t1), F.lit(t2), "draw", "ek"))
-                     .groupBy("draw").agg(F.min_by(F.struct("type", "ek", "name"), "h").alias("pick")))
-                side.append(s)
-            pair = side[0].join(side[1], "draw").select(
-                side[0]["pick"]["type"].alias("type1"),
-                side[0]["pick"]["ek"].alias("ek1"), side[0]["pick"]["name"].alias("name1"),
-                side[1]["pick"]["type"].alias("type2"), side[1]["pick"]["ek"].alias("ek2"),
-                side[1]["pick"]["name"].alias("name2"), "draw")
-            cross_parts.append(pair)
-    cross = reduce(lambda x, y: x.unionByName(y), cross_parts) if cross_parts else None
-    if cross is not None:
+    # cross-type draws: one aggregation over a tiny (type pair, side, draw) table that
+    # holds min(10, n1, n2) draws per type pair (bounded by types^2 x 10 rows)
+    spark = entities.sparkSession
+    meta_rows = [(t1, t2, side, t, d) for i, t1 in enumerate(types) for t2 in types[i + 1:]
+                 for side, t in ((1, t1), (2, t2)) for d in range(min(10, counts[t1], counts[t2]))]
+    if meta_rows:
+        meta = spark.createDataFrame(meta_rows, "type1 string, type2 string, side int, type string, draw int")
+        picks = (e.join(F.broadcast(meta), "type")
+                 .withColumn("h", hash_unit(F.lit(str(seed)), "type1", "type2", "draw", "ek"))
+                 .groupBy("type1", "type2", "side", "draw")
+                 .agg(F.min_by(F.struct("ek", "name"), "h").alias("pick")))
+        s1 = picks.where("side = 1").select("type1", "type2", "draw", F.col("pick.ek").alias("ek1"),
+                                              F.col("pick.name").alias("name1"))
+        s2 = picks.where("side = 2").select("type1", "type2", "draw", F.col("pick.ek").alias("ek2"),
+                                              F.col("pick.name").alias("name2"))
+        cross = s1.join(s2, ["type1", "type2", "draw"]).select("type1", "ek1", "name1", "type2", "ek2", "name2", "draw")
         # cross pairs get the same inclusion probability as within pairs
         cross = cross.where(hash_unit(F.lit(str(seed)), F.lit("cross"), "type1", "type2", "draw") < rate * rate)
         pairs = within.unionByName(cross)

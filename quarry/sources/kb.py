@@ -60,3 +60,19 @@ def verbatim_gold(questions: DataFrame, kb: DataFrame, q_key: str = "question_id
     cands = anchor.join(post, "token").select(q_key, kb_key)
     return (cands.join(questions.select(q_key, q_text), q_key).join(kb.select(kb_key, kb_text), kb_key)
             .where(F.col(kb_text).contains(F.col(q_text))).select(q_key, kb_key))
+
+
+def build_or_load_kb(spark, path: str, build, force: bool = False) -> DataFrame:
+    """Reuse the KB stored at ``path`` (a written Parquet table, partitioned by
+    ``type``) unless ``force``; otherwise run ``build() -> DataFrame``, write it there
+    and read it back. ``path`` should live in shared storage (e.g. under the
+    session's ``spark.checkpoint.dir``)."""
+    if not force:
+        try:
+            stored = spark.read.parquet(path)
+            if stored.columns:
+                return stored
+        except Exception:  # noqa: BLE001 - a missing or empty folder means "build"
+            pass
+    build().write.mode("overwrite").partitionBy("type").parquet(path)
+    return spark.read.parquet(path)
