@@ -52,7 +52,15 @@ def q_extract_entities(spark, sf):
                     C.is_complex("question", "entities").alias("is_complex"))
 
 
-@register("extract_anchors")
+def _sql_c2() -> str:
+    from quarry.plans import sqlgen as S
+    prep, res = S.anchors_sql("text")
+    return f"""
+WITH q AS (SELECT item_id AS question_id, {prep} AS qc FROM benchmark)
+SELECT question_id, array_to_string({res}, '|') AS anchors FROM q"""
+
+
+@register("extract_anchors", _sql_c2())
 def q_extract_anchors(spark, sf):
     """Anchors of the benchmark items."""
     return C.extract_anchors(benchmark_questions(spark, sf)).select(

@@ -169,3 +169,28 @@ def split_sql(q: str, max_parts: int = 5) -> str:
               f"['Additionally: ' || array_to_string({other}[{max_parts}:], '; ')] ELSE {other} END)")
     out = f"(CASE WHEN {use_conj} THEN {conj_splits}[1:{max_parts}] ELSE {capped} END)"
     return f"(CASE WHEN len({out}) > 0 THEN {out} ELSE [{t}] END)"
+
+
+# ---------------------------------------------------------------- anchors
+
+def anchors_sql(text: str) -> tuple[str, str]:
+    """C2 as (CTE expression for the prepared lower-cased text, list expression over
+    a column named ``qc``)."""
+    from quarry.operators import questions as C
+    q = f"(' ' || lower({text}) || ' ')"
+    for ph in C.CONTEXT_PHRASES:
+        q = f"replace({q}, ' {ph} ', ' ')"
+
+    def pairs(p):
+        return (f"flatten(list_transform(range(1, len(regexp_extract_all(qc, '{p}', 1)) + 1), lambda i: "
+                f"[regexp_extract_all(qc, '{p}', 1)[i], regexp_extract_all(qc, '{p}', 2)[i]]))")
+
+    quoted = "regexp_extract_all(qc, '\"([^\"]+)\"', 1)"
+    sides = f"list_transform({pairs(C.BETWEEN_C2)} || {pairs(C.VS_C2)}, lambda e: {strip_ws('e')})"
+    chunks = (f"list_filter(list_transform(string_split_regex(qc, '{C.ANCHOR_SPLIT}'), lambda t: "
+              f"{strip_ws(f"regexp_replace({strip_ws('t')}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')")}), "
+              f"lambda t: length(t) >= 2 AND length(t) <= 48)")
+    normed = (f"list_transform(list_filter({quoted} || {sides} || {chunks}, lambda a: a <> ''), lambda a: "
+              f"trim(regexp_replace(regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')))")
+    res = f"list_sort(list_distinct(list_filter({normed}, lambda a: NOT list_contains({_sql_list(C.ANCHOR_BLACKLIST)}, a))))"
+    return q, res
