@@ -214,7 +214,31 @@ def q_split_questions(spark, sf):
         C.split_questions(F.col("question"), 5)).alias("part_no", "part"))
 
 
-@register("parse_subquestion_json")
+def _sql_parse_json() -> str:
+    st = S.strip_ws
+    r = st("coalesce(resp, '')")
+    body = st(f"""(CASE WHEN contains(lower({r}), '```json') AND regexp_matches({r}, '(?is)```json.*?```')
+                       THEN regexp_extract({r}, '(?is)```json(.*?)```', 1)
+                       WHEN contains({r}, '```') AND regexp_matches({r}, '(?s)```.*?```')
+                       THEN regexp_extract({r}, '(?s)```(.*?)```', 1) ELSE {r} END)""")
+    subs = "from_json(json_extract(body, '$.sub_questions'), '[\"VARCHAR\"]')"
+    clean = (f"list_transform(list_filter(coalesce({subs}, [])[1:5], lambda q: q IS NOT NULL AND {st('q')} <> ''), "
+             f"lambda q: substr({st('q')}, 1, 200))")
+    fallback = f"(CASE WHEN {S.detect_sql('question')} THEN {S.split_sql('question')} ELSE [{S._t('question')}] END)"
+    return "WITH " + SQL_MQ.strip() + f""",
+rs AS (SELECT question_id, question, CASE question_id % 3
+          WHEN 0 THEN '```json' || chr(10) || to_json({{'sub_questions': {S.split_sql('question')}}}) || chr(10) || '```'
+          WHEN 1 THEN CAST(to_json({{'sub_questions': {S.split_sql('question')}}}) AS VARCHAR)
+          ELSE question END AS resp FROM mq),
+bd AS (SELECT question_id, question, {body} AS body FROM rs),
+ps AS (SELECT question_id, question, body, json_valid(body) AND body LIKE '{{%' AS ok FROM bd),
+out AS (SELECT question_id, CASE WHEN ok AND len({clean}) > 0 THEN {clean} WHEN ok THEN [question]
+                                 ELSE {fallback} END AS subs FROM ps)
+SELECT question_id, CAST(unnest(generate_series(0, len(subs) - 1)) AS INTEGER) AS sub_no, unnest(subs) AS sub_question
+FROM out"""
+
+
+@register("parse_subquestion_json", _sql_parse_json())
 def q_parse_subquestion_json(spark, sf):
     """Responses in three forms (fenced JSON, bare JSON, plain text) parsed."""
     m = multi_questions(spark, sf)
