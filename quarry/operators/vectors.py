@@ -40,7 +40,6 @@ class TfidfModel:
     vocab: DataFrame  # token, idf
     n_docs: int
     dfreq: DataFrame | None = None  # token, df over all tokens (no cut)
-    avg_len: float = 0.0  # mean tokens per document
 
     def raw_terms(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """-> (id_col, token, w): tf * idf over known tokens, not normalised."""
@@ -62,14 +61,12 @@ def tokens(text):
 
 
 def fit_tfidf(kb: DataFrame, id_col: str, text_col: str, cfg: RetrievalConfig = DEFAULT,
-              persist: bool = True) -> TfidfModel:
-    """Learn document frequencies (one shuffle on token). Runs a count action and,
-    with ``persist``, materialises the vocabulary once as a reliable checkpoint in the
-    session's shared checkpoint folder (the fitted model), so every later join reads
-    it instead of re-scanning the corpus."""
-    stats = kb.select(F.size(tokens(F.col(text_col))).alias("n")).agg(
-        F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_len")).first()
-    n_docs, avg_len = int(stats["docs"]), float(stats["avg_len"] or 0.0)
+              persist: bool = False) -> TfidfModel:
+    """Learn document frequencies (one shuffle on token). Runs a count action. With
+    ``persist`` the document frequencies are materialised once as a reliable
+    checkpoint in the shared checkpoint folder -- worth it when several actions reuse
+    the model; within one query Spark reuses the exchange anyway."""
+    n_docs = kb.count()
     dfreq = (kb.select(id_col, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
              .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     if persist:
@@ -77,7 +74,7 @@ def fit_tfidf(kb: DataFrame, id_col: str, text_col: str, cfg: RetrievalConfig =
         dfreq = materialize(dfreq)
     vocab = (dfreq.where(F.col("df") <= F.lit(cfg.max_df_share * n_docs))
              .select("token", F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df")).alias("idf")))
-    return TfidfModel(vocab=vocab, n_docs=n_docs, dfreq=dfreq, avg_len=avg_len)
+    return TfidfModel(vocab=vocab, n_docs=n_docs, dfreq=dfreq)
 
 
 def dense_from_terms(terms: DataFrame, id_col: str, dim: int = DEFAULT.dense_dim) -> DataFrame:

@@ -35,7 +35,7 @@ class KnowledgeBase:
         for c in ("source", "alternative_names", "bsc_subfamilies"):
             if c not in docs.columns:
                 docs = docs.withColumn(c, F.lit(None).cast("string"))
-        tfidf = B.fit_tfidf(docs, "doc_id", "content", cfg)
+        tfidf = B.fit_tfidf(docs, "doc_id", "content", cfg, persist=True)  # reused by several actions
         return cls(docs=docs, tfidf=tfidf, terms=tfidf.transform(docs, "doc_id", "content"),
                    bm25=Fr.fit_bm25(docs, tfidf))
 
