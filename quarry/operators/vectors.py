@@ -47,6 +47,12 @@ class TfidfModel:
         tf = toks.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
         return tf.join(self.vocab, "token").select(id_col, "token", (F.col("tf") * F.col("idf")).alias("w"))
 
+    def weights_from_counts(self, tf: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """(id_col, token, tf) -> (id_col, token, w): normalised TF-IDF from stored counts."""
+        w = tf.join(self.vocab, "token").select(id_col, "token", (F.col("tf") * F.col("idf")).alias("w"))
+        nrm = Window.partitionBy(id_col)
+        return w.select(id_col, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(nrm))).alias("w"))
+
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """-> (id_col, token, w): tf * idf over known tokens, L2-normalised per id."""
         toks = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
@@ -77,6 +83,24 @@ def fit_tfidf(kb: DataFrame, id_col: str, text_col: str, cfg: RetrievalConfig =
     return TfidfModel(vocab=vocab, n_docs=n_docs, dfreq=dfreq)
 
 
+def term_counts(kb: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """The corpus tokenized once: (id_col, token, tf)."""
+    return (kb.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
+            .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def fit_tfidf_from_counts(tf: DataFrame, n_docs: int, id_col: str = "doc_id", cfg: RetrievalConfig = DEFAULT,
+                          persist: bool = True) -> TfidfModel:
+    """Document frequencies from stored term counts (no second pass over the text)."""
+    dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    if persist:
+        from quarry.session import materialize
+        dfreq = materialize(dfreq)
+    vocab = (dfreq.where(F.col("df") <= F.lit(cfg.max_df_share * n_docs))
+             .select("token", F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df")).alias("idf")))
+    return TfidfModel(vocab=vocab, n_docs=n_docs, dfreq=dfreq)
+
+
 def dense_from_terms(terms: DataFrame, id_col: str, dim: int = DEFAULT.dense_dim) -> DataFrame:
     """Hashed dense form of term weights: bucket = md5 prefix of the token mod dim;
     -> (id_col, embedding array<double>) L2-normalised."""

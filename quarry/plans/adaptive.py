@@ -30,14 +30,26 @@ class KnowledgeBase:
     terms: DataFrame  # doc_id, token, w
     bm25: Fr.Bm25Model
 
+    counts: DataFrame | None = None  # doc_id, token, tf (stored)
+
     @classmethod
     def fit(cls, docs: DataFrame, cfg: RetrievalConfig = DEFAULT) -> "KnowledgeBase":
+        """Tokenize the corpus once into stored term counts (the index, written to the
+        shared checkpoint folder); document frequencies, BM25 statistics, search
+        weights and pool vectors are all derived from it."""
+        from quarry.session import materialize
         for c in ("source", "alternative_names", "bsc_subfamilies"):
             if c not in docs.columns:
                 docs = docs.withColumn(c, F.lit(None).cast("string"))
-        tfidf = B.fit_tfidf(docs, "doc_id", "content", cfg, persist=True)  # reused by several actions
-        return cls(docs=docs, tfidf=tfidf, terms=tfidf.transform(docs, "doc_id", "content"),
-                   bm25=Fr.fit_bm25(docs, tfidf))
+        counts = materialize(B.term_counts(docs))
+        n_docs = docs.count()
+        tfidf = B.fit_tfidf_from_counts(counts, n_docs, cfg=cfg)
+        total = counts.agg(F.sum("tf")).first()[0] or 0
+        idf_all = tfidf.dfreq.select("token", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) /
+                                                    (F.col("df") + 0.5)).alias("idf"))
+        bm25 = Fr.Bm25Model(docs=docs.select("doc_id", "content"), df=idf_all,
+                            avgdl=float(total) / max(n_docs, 1), tf=counts)
+        return cls(docs=docs, tfidf=tfidf, terms=tfidf.weights_from_counts(counts), bm25=bm25, counts=counts)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """queries (sq_key, text) -> (sq_key, rank, doc_id, score)."""
@@ -45,10 +57,9 @@ class KnowledgeBase:
         return B.topk_sparse(q_terms, self.terms, k, q_key="sq_key", kb_key="doc_id")
 
     def vectors_for(self, doc_ids: DataFrame, dim: int = DEFAULT.dense_dim) -> DataFrame:
-        """Dense hashed vectors of the given documents only (weights depend only on the
-        document and the fitted vocabulary, so only these documents are tokenized)."""
-        d = self.docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        return B.dense_from_terms(self.tfidf.transform(d, "doc_id", "content"), "doc_id", dim)
+        """Dense hashed vectors of the given documents only, from the stored counts."""
+        c = self.counts.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        return B.dense_from_terms(self.tfidf.weights_from_counts(c), "doc_id", dim)
 
 
 @dataclass
