@@ -147,7 +147,27 @@ def q_entity_name_typo(spark, sf):
         "question_id", "question", "entity_name", "entity_name_with_typo", "typo_details")
 
 
-@register("question_word_typo")
+def _sql_word_typo() -> str:
+    words = "list_filter(string_split_regex(substr(question, 1, st - 1), '\\s+'), lambda w: w <> '')"
+    q1 = "''''"
+    arrow = "' → '"
+    return f"""
+WITH n AS (SELECT question_id, question, entity_name, {_KEY} AS k, instr(question, entity_name) AS st
+           FROM {SQL_NUMBERED} n0),
+w AS (SELECT *, {words} AS words FROM n),
+p AS (SELECT *, st > 1 AND len(words) > 0 AS ok, {S.pick('k', 'word', 'len(words)')} AS idx FROM w),
+q AS (SELECT *, words[idx + 1] AS word, k || '|w' AS wk FROM p),
+t AS (SELECT *, {S.inject_typo('word', 'wk')} AS tw, {S.inject_typo('question', 'k')} AS anywhere FROM q)
+SELECT question_id,
+       CASE WHEN ok THEN array_to_string(list_transform(words, lambda x, i: CASE WHEN i - 1 = idx THEN tw ELSE x END),
+                                         ' ') || ' ' || substr(question, st) ELSE anywhere END AS question,
+       question AS original_question,
+       CASE WHEN ok THEN {q1} || word || '{arrow.replace("'", "''")}' || tw || {q1}
+            ELSE 'General typo introduced' END AS typo_details
+FROM t"""
+
+
+@register("question_word_typo", _sql_word_typo())
 def q_question_word_typo(spark, sf):
     """I8: one deterministic typo in a question word before the entity."""
     return I.question_word_typos(direct_questions_all(spark, sf)).select(
