@@ -44,3 +44,22 @@ def test_read_dirty_csv_ragged_golden(spark, tmp_path):
     p.write_text('name, a, b\nAlpha, x, one, two, three\n\nGam, only\nBeta, "multi\n   line", ["p", "q"]\n')
     rows = [tuple(r) for r in read_dirty_csv(spark, str(p)).collect()]
     assert rows == [("Alpha", "x", "one, two, three"), ("Gam", "only", ""), ("Beta", "multi line", "[p, q]")]
+
+
+def test_read_questions_json_array_and_error(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from quarry.sources.questions_io import read_questions
+    a = tmp_path / "a.json"
+    a.write_text(json.dumps([{"question": "What is A?", "question_id": 1, "ground_truth_docs": ["KPI::A"]},
+                             {"question": "Q2", "question_id": 2, "ground_truth_docs": []}], indent=2))
+    b = tmp_path / "b.json"
+    b.write_text(json.dumps([{"question": "Q3", "question_id": 3}]))
+    df = read_questions(spark, [str(a), str(b)])
+    assert sorted(r.question_id for r in df.collect()) == [1, 2, 3]
+    bad = tmp_path / "bad.json"
+    bad.write_text(json.dumps({"question": "not a list"}))
+    with pytest.raises(ValueError):
+        read_questions(spark, [str(a), str(bad)])
