@@ -168,12 +168,61 @@ def q_weighted_fusion(spark, sf):
         F.round(F.col("rrf") + 1e-12, 6).alias("rrf"), F.array_join(F.array_sort("lists"), ",").alias("lists"))
 
 
-@register("fusion")
+def _sql_fusion() -> str:
+    """E4-E13 as SQL (the documents KB has no aliases or subfamilies, so mention terms
+    are the lower-cased entities and the subfamily prior is 1)."""
+    from quarry.config import DEFAULT as cfg
+    base = _sql_weighted_fusion()
+    base = base[:base.index("SELECT question_id, doc_key, round(wsum + 1e-12, 6)")].rstrip()
+    base = base.replace("h AS (SELECT sr.question_id, sr.list_name, kbk.doc_key, sr.score, sr.rn - 1 AS rank0",
+                        "h AS (SELECT sr.question_id, sr.list_name, sr.subq_no, sr.doc_id, kbk.doc_key, sr.score, "
+                        "sr.rn - 1 AS rank0, CASE sr.list_name WHEN 'full' THEN 0 WHEN 'entity' THEN 1 "
+                        "WHEN 'name_boost' THEN 2 ELSE 9 END AS list_order")
+    tp = " ".join(f"WHEN '{k}' THEN {v}" for k, v in cfg.type_prior.items())
+    cap = cfg.pool_cap
+    return base + f""",
+rl AS (SELECT question_id, doc_key, list_sort(list_distinct(list('rrf:' || list_name))) AS rrf_lists
+       FROM h GROUP BY ALL),
+fd AS (SELECT question_id, doc_key, arg_min(doc_id, (list_order, subq_no, rank0, doc_id)) AS doc_id FROM h GROUP BY ALL),
+cd AS (SELECT fd.question_id, fd.doc_key, fd.doc_id, d.source, d.source AS type, kbk.name,
+              lower(d.text) || ' ' || lower(concat_ws(' ', d.source, d.source, kbk.name)) AS blob
+       FROM fd JOIN documents d USING (doc_id) JOIN kbk USING (doc_id)),
+x AS (SELECT wf.question_id, wf.doc_key, cd.doc_id, wf.wsum, rr.rrf, wf.lists, rl.rrf_lists, cd.type, e.ents,
+             list_transform(e.ents, lambda en: lower(en) <> '' AND contains(cd.blob, lower(en))) AS mentions
+      FROM wf JOIN rr USING (question_id, doc_key) JOIN rl USING (question_id, doc_key)
+      JOIN cd USING (question_id, doc_key) JOIN e USING (question_id)),
+y AS (SELECT *, len(ents) > 0 AND len(list_filter(mentions, lambda m: NOT m)) = 0 AS co FROM x),
+z AS (SELECT question_id, doc_key, doc_id, ents, mentions,
+             (wsum + rrf) * (CASE type {tp} ELSE 1.0 END) + CASE WHEN co THEN {cfg.co_mention_bonus} ELSE 0.0 END AS fused,
+             list_sort(list_distinct(string_split(lists, ',') || rrf_lists
+                                     || CASE WHEN co THEN ['co_mention'] ELSE [] END)) AS prov FROM y),
+zr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(fused, 9) DESC, doc_key) AS r FROM z),
+pq AS (SELECT question_id, any_value(ents) AS ents,
+              list(struct_pack(r := r, doc_key := doc_key, fused := fused, prov := prov, m := mentions) ORDER BY r)
+                FILTER (WHERE r <= {cap}) AS top,
+              list(struct_pack(r := r, doc_key := doc_key, fused := fused, prov := prov, m := mentions) ORDER BY r)
+                FILTER (WHERE r > {cap}) AS tail
+       FROM zr GROUP BY question_id),
+pm AS (SELECT *, list_filter(range(1, len(ents) + 1),
+                             lambda i: len(list_filter(top, lambda t: t.m[i])) = 0) AS missing FROM pq),
+pk AS (SELECT *, list_reduce(missing, lambda acc, i: acc || list_transform(
+                     list_filter(coalesce(tail, []), lambda t: t.m[i] AND NOT list_contains(list_transform(acc, lambda p: p.doc_key), t.doc_key))[1:1],
+                     lambda t: struct_pack(doc_key := t.doc_key, ei := i, fused := t.fused, prov := t.prov)),
+                   CAST([] AS STRUCT(doc_key VARCHAR, ei BIGINT, fused DOUBLE, prov VARCHAR[])[])) AS picks FROM pm),
+pool AS (SELECT question_id, t.doc_key, t.fused, t.prov FROM pk, unnest(top[1:len(top) - least(len(picks), len(top))]) AS u(t)
+         UNION ALL
+         SELECT question_id, p.doc_key, p.fused, list_sort(p.prov || ['coverage:' || ents[p.ei]]) FROM pk, unnest(picks) AS u(p))
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(fused, 9) DESC, doc_key) AS INTEGER)
+         AS pool_rank, doc_key, round(fused + 1e-12, 6) AS fused, array_to_string(prov, ',') AS provenance
+FROM pool"""
+
+
+@register("fusion", _sql_fusion())
 def q_fusion(spark, sf):
     """The fused pool (<= pool_cap per question) with provenance."""
     res = bench_run(spark, sf)
-    return rounded(res.pool.select("question_id", "pool_rank", "doc_key", "fused",
-                                   F.array_join("provenance", ",").alias("provenance")))
+    return res.pool.select("question_id", "pool_rank", "doc_key", F.round(F.col("fused") + 1e-12, 6).alias("fused"),
+                           F.array_join("provenance", ",").alias("provenance"))
 
 
 @register("fusion_stats")
