@@ -225,11 +225,32 @@ def q_fusion(spark, sf):
                            F.array_join("provenance", ",").alias("provenance"))
 
 
-@register("fusion_stats")
+def _sql_fusion_stats() -> str:
+    base = _sql_fusion()
+    cut = base.index("SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(fused, 9) DESC")
+    return base[:cut].rstrip() + """,
+pr AS (SELECT question_id, doc_key, fused,
+              row_number() OVER (PARTITION BY question_id ORDER BY round(fused, 9) DESC, doc_key) AS pool_rank FROM pool),
+raw AS (SELECT question_id, count(*) AS raw_hits, count(DISTINCT doc_key) AS unique_candidates FROM h GROUP BY ALL),
+pst AS (SELECT question_id, count(*) AS pool_size, min(fused) AS mn, max(fused) AS mx, avg(fused) AS mean,
+              stddev_pop(fused) AS sd, max(CASE WHEN pool_rank = 1 THEN fused END) AS top1,
+              max(CASE WHEN pool_rank = 2 THEN fused END) AS top2 FROM pr GROUP BY ALL)
+SELECT raw.question_id, raw.raw_hits, raw.unique_candidates, coalesce(pst.pool_size, 0) AS pool_size,
+       round(mn + 1e-12, 6) AS fused_min, round(mx + 1e-12, 6) AS fused_max, round(mean + 1e-12, 6) AS fused_mean,
+       round(sd + 1e-12, 6) AS fused_std, round(top1 - top2 + 1e-12, 6) AS gap,
+       CASE WHEN top1 - top2 > 0.2 THEN 'strong' WHEN top1 - top2 > 0.1 THEN 'clear'
+            WHEN top1 - top2 IS NOT NULL THEN 'multiple' END AS gap_band
+FROM raw LEFT JOIN pst USING (question_id)"""
+
+
+@register("fusion_stats", _sql_fusion_stats())
 def q_fusion_stats(spark, sf):
     """Pool statistics per question."""
     res = bench_run(spark, sf)
-    return rounded(E.fusion_stats(res.pool, res.hits))
+    out = E.fusion_stats(res.pool, res.hits)
+    # fused sums can sit on a rounding half: nudge alike on both sides
+    return out.select(*[F.round(F.col(c) + 1e-12, 6).alias(c) if t == "double" else F.col(c)
+                        for c, t in out.dtypes])
 
 
 def _sql_weighted_rrf() -> str:
