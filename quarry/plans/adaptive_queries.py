@@ -285,7 +285,50 @@ def q_weighted_rrf(spark, sf):
 # ---------------------------------------------------------------- F
 
 
-@register("rerank")
+def _sql_rerank() -> str:
+    from quarry.config import DEFAULT as cfg
+    from quarry.plans import sqlgen as S
+    from quarry.plans.text_queries import TOKEN_SQL
+    base = _sql_fusion()
+    cut = base.index("SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(fused, 9) DESC")
+    prep, anchors = S.anchors_sql("text")
+    k1, b = 1.2, 0.75
+    norm_name = ("trim(regexp_replace(regexp_replace(lower(coalesce(kbk.name, '')), '[^\\\\p{L}\\\\p{N}_\\\\s]', ' ', 'g'), "
+                 "'\\\\s+', ' ', 'g'))")
+    return base[:cut].rstrip() + f""",
+pd0 AS (SELECT pool.question_id, pool.doc_key, fd.doc_id FROM pool JOIN fd USING (question_id, doc_key)),
+ntok AS (SELECT sum(cnt) AS total FROM (SELECT count(*) AS cnt FROM dt)),
+avgdl AS (SELECT CAST(total AS DOUBLE) / (SELECT n FROM nd) AS a FROM ntok),
+idfa AS (SELECT token, ln(1 + ((SELECT n FROM nd) - df + 0.5) / (df + 0.5)) AS idf FROM dfq),
+pdocs AS (SELECT DISTINCT doc_id FROM pd0),
+ptf AS (SELECT dt.doc_id, dt.token, count(*) AS tf FROM dt JOIN pdocs USING (doc_id) GROUP BY ALL),
+pdl AS (SELECT doc_id, sum(tf) AS dl FROM ptf GROUP BY doc_id),
+qtok AS (SELECT DISTINCT item_id AS question_id, unnest({TOKEN_SQL.format(c='text')}) AS token FROM benchmark),
+bm AS (SELECT pd0.question_id, pd0.doc_id,
+              sum(idfa.idf * ptf.tf * {k1 + 1} / (ptf.tf + {k1} * ({1 - b} + {b} * pdl.dl / (SELECT a FROM avgdl))))
+                AS logit
+       FROM pd0 JOIN qtok USING (question_id) JOIN ptf USING (doc_id, token) JOIN idfa USING (token)
+       JOIN pdl USING (doc_id) GROUP BY ALL),
+anc AS (SELECT item_id AS question_id, {anchors} AS anchors FROM (SELECT item_id, {prep} AS qc FROM benchmark)),
+rx AS (SELECT pd0.question_id, pd0.doc_key, pd0.doc_id, anc.anchors, e.ents,
+              coalesce(bm.logit, 0.0) + CASE WHEN len(list_filter(e.ents, lambda en:
+                   contains(lower(coalesce(kbk.name, '')), lower(en)))) > 0 THEN {cfg.entity_name_boost} ELSE 0.0 END
+                AS logit,
+              len(anc.anchors) > 0 AND list_has_any(anc.anchors, [{norm_name}]) AS is_anchor
+       FROM pd0 LEFT JOIN bm USING (question_id, doc_id) JOIN kbk USING (doc_id) JOIN anc USING (question_id)
+       JOIN e USING (question_id)),
+sm AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY question_id)) / {cfg.temperature}) AS ex FROM rx),
+p0 AS (SELECT *, ex / sum(ex) OVER (PARTITION BY question_id) AS prob0 FROM sm),
+p1 AS (SELECT *, CASE WHEN len(anchors) > 0 THEN prob0 * (CASE WHEN is_anchor THEN {1.0 + cfg.entity_prior} ELSE 1.0 END)
+                      ELSE prob0 END AS bb FROM p0),
+p2 AS (SELECT *, CASE WHEN sum(bb) OVER (PARTITION BY question_id) > 0 THEN bb / sum(bb) OVER (PARTITION BY question_id)
+                      ELSE bb END AS prob FROM p1)
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(prob, 12) DESC, doc_key) AS INTEGER)
+         AS final_rank, doc_key, round(logit, 6) AS logit, round(prob, 6) AS prob, is_anchor
+FROM p2"""
+
+
+@register("rerank", _sql_rerank())
 def q_rerank(spark, sf):
     """BM25 logits, name boost, softmax, anchor prior, rank, anchor injection."""
     res = bench_run(spark, sf, use_mmr=False)
