@@ -341,7 +341,16 @@ def q_mmr(spark, sf):
     return rounded(bench_run(spark, sf).reranked.select("question_id", "final_rank", "doc_key", "prob"))
 
 
-@register("prob_stats")
+def _sql_prob_stats() -> str:
+    base = _sql_rerank()
+    cut = base.index("SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(prob, 12) DESC")
+    return base[:cut].rstrip() + """
+SELECT question_id, round(min(prob), 6) AS prob_min, round(max(prob), 6) AS prob_max, round(avg(prob), 6) AS prob_mean,
+       round(stddev_pop(prob), 6) AS prob_std
+FROM p2 GROUP BY question_id"""
+
+
+@register("prob_stats", _sql_prob_stats())
 def q_prob_stats(spark, sf):
     """probability statistics per question."""
     return rounded(Fr.prob_stats(bench_run(spark, sf).reranked))
