@@ -133,6 +133,7 @@ def sample_relationship_pairs(entities: DataFrame, target_questions: int = 980,
                  for side, t in ((1, t1), (2, t2)) for d in range(min(10, counts[t1], counts[t2]))]
     if meta_rows:
         meta = spark.createDataFrame(meta_rows, "type1 string, type2 string, side int, type string, draw int")
+        # ``meta`` is built here from the per-type counts: at most types^2 x 20 rows
         picks = (e.join(F.broadcast(meta), "type")
                  .withColumn("h", hash_unit(F.lit(str(seed)), "type1", "type2", "draw", "ek"))
                  .groupBy("type1", "type2", "side", "draw")

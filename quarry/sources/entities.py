@@ -110,8 +110,8 @@ def family_entities(spark, sf) -> DataFrame:
 
 def subfamily_entities(spark, sf) -> DataFrame:
     n = table(spark, sf, "nation")
-    r = table(spark, sf, "region")  # a fixed dimension of a handful of rows
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left").select(
+    r = table(spark, sf, "region")  # a small dimension; Spark's size check picks the join
+    return n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
         F.col("n_nationkey").cast("long").alias("entity_key"), F.col("n_name").alias("name"),
         F.col("r_name").alias("bsc_family"),
         F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("short_definition"),
