@@ -1,7 +1,5 @@
 import math
 
-import pandas as pd
-from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT
 from quarry.operators import fusion as E

@@ -1,6 +1,5 @@
 import hashlib
 
-from pyspark.sql import functions as F
 
 from quarry.functions.text import doc_key, norm_key
 from quarry.sources.entities import assemble, clean_value, infer_table_type
