@@ -66,29 +66,29 @@ def text_slices(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int,
 
 
 class Memo(dict):
-    """Bounded memo in two generations: when the young one is full it becomes the old one,
-    and entries used again move back. Holds ``2 * capacity`` entries at most."""
+    """Bounded memo of a function of strings, in two generations: when the young one holds
+    ``capacity`` characters of keys it becomes the old one, and entries used again move
+    back. So it holds two generations and one batch at most, long keys or short."""
 
-    def __init__(self, compute: Callable[[list], Iterable], capacity: int = 250_000):
+    def __init__(self, compute: Callable[[list], Iterable], capacity: int = 3_000_000):
         super().__init__()
-        self.compute, self.capacity, self.old = compute, capacity, {}
+        self.compute, self.capacity, self.old, self.size = compute, capacity, {}, 0
 
-    def need(self, keys: Iterable) -> None:
-        """Make every key available for plain lookup."""
-        missing = set(keys).difference(self)
-        if not missing:
-            return
-        if len(self) + len(missing) > self.capacity:
+    def need(self, keys: set) -> None:
+        """Make every key available for plain lookup until the next call."""
+        if self.size > self.capacity:
             self.old = dict(self)
-            keep = [k for k in set(keys) if k in self.old]
             self.clear()
-            self.update((k, self.old[k]) for k in keep)
-        if self.old:
-            again = [k for k in missing if k in self.old]
-            self.update((k, self.old[k]) for k in again)
-            missing.difference_update(again)
-        order = list(missing)
-        self.update(zip(order, self.compute(order)))
+            self.size = 0
+        missing = keys.difference(self)
+        if not missing:
+            return
+        old = self.old
+        again = [k for k in missing if k in old]
+        self.update((k, old[k]) for k in again)
+        new = list(missing.difference(again))
+        self.update(zip(new, self.compute(new)))
+        self.size += sum(map(len, missing))
 
 
 def quiet_tokenizers() -> None:

@@ -1,0 +1,113 @@
+"""BPE against the library; PII against the patterns run over whole texts."""
+
+import hashlib
+import re
+
+import public_tokenizers as P
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quarry.llm import bpe, pii
+
+PATH = P.path("byte_bpe_multi_50k.tiktoken")
+TEXTS = [None, "", "Hello  world, it's\n\n fine \t\x1c\x85 x", "naïve Ünïcode 漢字 🎉🎉 12345", "ab" * 5000, " " * 3000, "a" * 700]
+
+
+def library():
+    ranks = bpe.TwoTierBpe.of(PATH, P.PATTERN).ranks
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+LIB = library()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t\x0b\x1c\x1f\x85\xa0  ab'stveé漢🎉19.,-ßlER", max_size=60))
+def test_encode_equals_the_library(text):
+    own = bpe.TwoTierBpe.of(PATH, P.PATTERN)
+    ids = LIB.encode_ordinary(text)
+    assert own.encode(text) == ids
+    (n, joined, decoded), = own.batch([text])
+    assert (n, joined, decoded) == (len(ids), ",".join(map(str, ids)), text.encode())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=40))
+def test_merge_equals_the_library(piece):
+    own = bpe.TwoTierBpe.of(PATH, P.PATTERN)
+    assert bpe.merge(piece, own.ranks) == LIB._core_bpe.encode_single_piece(piece)
+
+
+def test_perfect_hash_is_minimal():
+    keys = [f"k{i}".encode() for i in range(5000)]
+    table = bpe.PerfectHash(keys)
+    assert sorted(table.numbers(keys)) == list(range(5000))
+    assert set(table.numbers([b"other", b""])) == {-1}
+
+
+def rows(spark, texts):
+    data = [(i, t, "x", "y", 1) for i, t in enumerate(texts)] + [(None, "n@o.id", None, None, None)] * 2
+    return spark.createDataFrame(data, "doc_id long, text string, ids string, spans string, n_tokens int")
+
+
+def test_digests(spark):
+    got = bpe.digests(rows(spark, TEXTS), PATH, P.PATTERN).collect()
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
+        text = "n@o.id" if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
+        ids = LIB.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.digests(rows(spark, []).where("false"), PATH, P.PATTERN).count() == 0
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def brute(text):
+    """The base kinds by scanning the whole text with each pattern."""
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out += [("ip", m.start(), m.end()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in pii.CARD.finditer(text)
+            if 16 <= len(d := re.sub(r"[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in pii.PHONE.finditer(text) if 8 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet="a@.-+_ é1🎉%:", max_size=50), st.text(alphabet="0123456789. -+()", max_size=70),
+                 st.text(alphabet="0. -+", max_size=90)))
+def test_base_kinds_equal_whole_text_patterns(text):
+    found = [s for s in pii.Finder().spans(text) if s[0] in pii.BASE_KINDS]
+    assert found == brute(text)
+
+
+def test_added_kinds_and_mask():
+    text = "see https://bob:pw@host.org/x, IBAN: DE89 3704 0044 0532 0130 00. Account no. 12345678 or a.b@c.de +1 (555) 123-4567"
+    spans = pii.Finder().spans(text)
+    assert {text[a:b] for k, a, b in spans if k == "iban"} == {"DE89 3704 0044 0532 0130 00"}
+    assert {text[a:b] for k, a, b in spans if k == "account"} == {"12345678"}
+    assert [k for k, *_ in spans].count("url") == 1
+    assert pii.masked(text, spans) == "see [URL] IBAN: [IBAN]. Account no. [ACCOUNT] or [EMAIL] [PHONE]"
+    card = "pay 4111 1111 1111 1111 now"
+    assert pii.masked(card, pii.Finder().spans(card)) == "pay [CARD] now"
+
+
+def test_long_runs_stay_linear():
+    for text in ("9" * 200_000, "9." * 100_000, "a" * 200_000 + "@", "+1 " * 60_000, "a@" * 60_000):
+        pii.Finder().spans(text)
+
+
+def test_find_digest_and_mask(spark):
+    texts = [None, "", "a@b.c, 1.2.3.4 and +49 30 1234567", "x" * 100_000]
+    docs = rows(spark, texts)
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(docs)).collect() if r["doc_id"] is not None}
+    base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(texts[2]))
+    assert got[2]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and got[2]["spans"] == base
+    assert (got[2]["n_email"], got[2]["n_ip"], got[2]["n_card"], got[2]["n_phone"]) == (1, 1, 0, 1)
+    assert got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[0]["spans"] == ""
+    masked = {r["doc_id"]: r for r in pii.mask(docs).collect()}
+    assert masked[0]["text"] is None and masked[2]["text"] == "[EMAIL], [IP] and [PHONE]" and masked[2]["ids"] == "x"
+    assert pii.find(docs.where("false")).count() == 0
