@@ -1,8 +1,11 @@
-"""Ids of texts under a ``tokenizers`` file, memoised by white-space piece.
+"""Ids of texts under word_bpe_49k.json as the ``tokenizers`` library gives them, memoised by
+white-space piece.
 
-Blanks and line feeds are proven boundaries of such a file when its normaliser and
-pre-tokenizer never join across white space (word_bpe_49k.json drops it): the ids of a
-text are the ids of its pieces one after the other. The library encodes every new piece.
+The file's normaliser and pre-tokenizer never join across white space and drop it, so the ids
+of a text are the ids of its blank-separated pieces one after the other. Likewise a full stop or
+comma after a letter is a pre-token of its own. The library encodes each new piece; pieces are
+handed over in strings with a special token between them, which it never joins with its
+neighbours.
 """
 
 from __future__ import annotations
@@ -28,6 +31,15 @@ def load(path: str):
 
 
 def split(text: str) -> list[str]:
+    """Pieces between blanks and line feeds. The tokenizer lower-cases; doing so here makes
+    fewer distinct pieces. Only Latin-1 text is lower-cased, where both agree letter by letter, and
+    none that may hold a special string, which is matched before lower-casing."""
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
     return text.replace("\n", " ").split(" ")
 
 
@@ -37,7 +49,10 @@ class PieceIds:
 
     def __init__(self, path: str):
         self.tok = load(path)
-        self.memo = Memo(self._encode)
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.between, self.between_id = min(self.special.items())
+        self.memo = Memo(self._encode, capacity=5_000_000)
+        self.stops = dict(zip(".,", self._library([".", ","])))
 
     @classmethod
     def of(cls, path: str) -> PieceIds:
@@ -46,13 +61,35 @@ class PieceIds:
             _WORKER[key] = cls(path)
         return _WORKER[key]
 
+    def _library(self, pieces: list[str], together: int = 64) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(pieces), 16_384):
+            part = pieces[lo:lo + 16_384]
+            joined = [self.between.join(part[i:i + together]) for i in range(0, len(part), together)]
+            for e in self.tok.encode_batch_fast(joined, add_special_tokens=False):
+                ids = np.array(e.ids, "<u4")
+                flat, at = ids.tobytes(), 0
+                for cut in (np.flatnonzero(ids == self.between_id) * 4).tolist():
+                    out.append(flat[at:cut])
+                    at = cut + 4
+                out.append(flat[at:])
+        return out
+
     def _encode(self, pieces: list[str]):
-        for lo in range(0, len(pieces), 20_000):
-            for e in self.tok.encode_batch_fast(pieces[lo:lo + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        memo, stops = self.memo, self.stops
+        stem = {p: p[:-1] for p in pieces if p[-1:] in stops and p[-2:-1].isalpha()}
+        alone = [p for p in pieces if "<|" in p]  # may hold the special string that separates
+        wanted = list({stem.get(p, p) for p in pieces}.difference(memo).difference(alone))
+        ids = dict(zip(wanted, self._library(wanted)))
+        ids.update((p, np.array(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in alone)
+        for p in pieces:
+            if (s := stem.get(p)) is None or p in ids:
+                yield ids[p]
+            else:
+                yield (ids[s] if s in ids else memo[s]) + stops[p[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [split(t) for t in texts]
-        self.memo.need({p for c in cut for p in c})
+        self.memo.need(set().union(*cut))
         get = self.memo.__getitem__
         return [b"".join(map(get, c)) for c in cut]
