@@ -121,7 +121,8 @@ def resynchronised(texts: DataFrame, path: str, chunk: int, overlap: int) -> Dat
                   .select("key", "n_chunks", "k", F.lit(overlap).alias("overlap"),
                           F.col("text").substr((F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("part"))
                   .repartition(F.col("key"), F.col("k")))
-        counted = store(_splice(map_batches(chunks, _encode_chunks(path, chunk), SEAM)), "splice")
+        encoded = store(map_batches(chunks, _encode_chunks(path, chunk), SEAM), "chunks")  # read twice by the splice
+        counted = store(_splice(encoded), "splice")
         good = counted.where("n_tokens is not null")
         done = good if done is None else done.unionByName(good)
         failed = counted.where("n_tokens is null").select("key")
