@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.blocks import cuts, deltas, planes, range_start, undeltas, unplanes
 from quarry.llm.bpe import mix
 from quarry.llm.common import map_batches, store, text_rows
 from quarry.llm.components import components
@@ -58,23 +59,6 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def deltas(sorted_values: np.ndarray, low: int) -> bytes:
-    """Differences of sorted values, byte plane by byte plane (the high planes are mostly zeros)."""
-    d = np.diff(sorted_values, prepend=np.uint64(low)).astype("<u8")
-    return d.view(np.uint8).reshape(-1, 8)[:, :BITS // 8].T.tobytes()
-
-
-def undeltas(blob: bytes, low: int) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(BITS // 8, -1)
-    d = np.zeros((planes.shape[1], 8), np.uint8)
-    d[:, :BITS // 8] = planes.T
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64) + np.uint64(low)
-
-
-def range_start(part: int, parts: int) -> int:
-    return -(-(part << BITS) // parts)
-
-
 BLOCK = ("part long, block long, doc_ids array<long>, keys binary, sizes binary, multi binary, "
          "hashes binary, idx binary, counts binary")
 _BLOCK = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -84,8 +68,6 @@ _BLOCK = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.
 def _blocks(parts: int, width: int):
     """Texts -> blocks. A block of documents gives one row with its documents and the shingles that
     several of them hold, and one row per hash range with its distinct shingles."""
-    starts = np.array([range_start(p, parts) for p in range(parts)], np.uint64)
-
     def emit(doc_ids: list, keys: list[bytes], sizes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         which = np.repeat(np.arange(len(sets), dtype=np.uint64), list(map(len, sets)))
         packed = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - BITS) << np.uint64(16) | which
@@ -105,13 +87,10 @@ def _blocks(parts: int, width: int):
 
         add(part=-1 - block, block=block, doc_ids=doc_ids, keys=b"".join(keys),
             sizes=np.array(sizes, "<u4").tobytes(), multi=multi.astype("<u8").tobytes())
-        ends = np.searchsorted(value, starts)
-        for part in range(parts):
-            lo, hi = ends[part], ends[part + 1] if part + 1 < parts else len(value)
-            if lo < hi:
-                many = n[lo:hi]
-                add(part=part, block=block, hashes=deltas(value[lo:hi], int(starts[part])),
-                    idx=idx[lo:hi].tobytes(), counts=many[many > 1].astype("<u2").tobytes())
+        for part, lo, hi in cuts(value, parts, BITS):
+            many = n[lo:hi]
+            add(part=part, block=block, hashes=deltas(value[lo:hi], range_start(part, parts, BITS), BITS),
+                idx=idx[lo:hi].tobytes(), counts=many[many > 1].astype("<u2").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _BLOCK], schema=_BLOCK)
 
     def run(batches):
@@ -143,8 +122,8 @@ def _count(parts: int):
         part = group.column("part")[0].as_py()
         if part < 0:  # a block's own row travels along
             return group.select(_REPLY.names).cast(_REPLY)
-        low = range_start(part, parts)
-        hashes = [undeltas(b, low) for b in group.column("hashes").to_pylist()]
+        low = range_start(part, parts, BITS)
+        hashes = [undeltas(b, low, BITS) for b in group.column("hashes").to_pylist()]
         idx = [np.frombuffer(b, "<u2") for b in group.column("idx").to_pylist()]
         n = []
         for i, c in zip(idx, group.column("counts").to_pylist()):
@@ -159,8 +138,8 @@ def _count(parts: int):
         for block, h, i, lo, hi in zip(group.column("block").to_pylist(), hashes, idx, ends - list(map(len, hashes)), ends):
             shared = df[lo:hi] > 1
             if shared.any():
-                values = {"block": block, "part": part, "hashes": deltas(h[shared], low), "idx": i[shared].tobytes(),
-                          "counts": df[lo:hi][shared].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()}
+                values = {"block": block, "part": part, "hashes": deltas(h[shared], low, BITS), "idx": i[shared].tobytes(),
+                          "counts": planes(df[lo:hi][shared], 5)}
                 for c in out:
                     out[c].append(values.get(c))
         return pa.table([pa.array(out[f.name], f.type) for f in _REPLY], schema=_REPLY)
@@ -191,9 +170,9 @@ def _gather(parts: int, percent: int):
             if r["hashes"] is None or r["part"] in seen:
                 continue  # two equal blocks have equal replies
             seen.add(r["part"])
-            h = undeltas(r["hashes"], range_start(r["part"], parts))
+            h = undeltas(r["hashes"], range_start(r["part"], parts, BITS), BITS)
             idx = np.frombuffer(r["idx"], "<u2")
-            df = np.ascontiguousarray(np.frombuffer(r["counts"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            df = unplanes(r["counts"], 5).astype(np.int64)
             many = idx == MULTI
             lo, hi = np.searchsorted(multi_h, h[many], "left"), np.searchsorted(multi_h, h[many], "right")
             reps = hi - lo

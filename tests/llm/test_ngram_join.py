@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import ngram_join
+from quarry.llm import blocks, ngram_join
 from quarry.llm.components import components
 
 
@@ -73,13 +73,15 @@ def test_empty_table(spark):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, (1 << 48) - 1), min_size=1, max_size=50), st.integers(1, 9))
-def test_deltas_round_trip(values, parts):
-    for part in range(parts):
-        low, high = ngram_join.range_start(part, parts), ngram_join.range_start(part + 1, parts)
-        own = np.array(sorted({v for v in values if low <= v < high}), np.uint64)
-        if len(own):
-            assert (ngram_join.undeltas(ngram_join.deltas(own, low), low) == own).all()
+@given(st.lists(st.integers(0, (1 << 48) - 1), max_size=50), st.integers(1, 9), st.sampled_from([48, 64]))
+def test_blocks_round_trip(values, parts, bits):
+    own = np.array(sorted({v << (bits - 48) for v in values}), np.uint64)
+    out = []
+    for part, lo, hi in blocks.cuts(own, parts, bits):
+        low, high = blocks.range_start(part, parts, bits), blocks.range_start(part + 1, parts, bits)
+        assert low <= int(own[lo]) and int(own[hi - 1]) < high
+        out += blocks.undeltas(blocks.deltas(own[lo:hi], low, bits), low, bits).tolist()
+    assert out == own.tolist()
 
 
 def test_components_of_a_path_and_a_star(spark):
