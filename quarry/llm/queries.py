@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, langid, lm, ngram_join, packing, pii, token_counts, toxicity
+from quarry.llm import ann, bpe, langid, lm, mtree, ngram_join, packing, pii, token_counts, toxicity
 from quarry.llm.common import tables
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,10 +22,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(tables(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(tables(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(tables(spark, sf_dir, "documents")))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(tables(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, tables(spark, sf_dir, "labels")))
@@ -51,7 +59,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
+    "op3_ann": op3_ann,
     "op4_pii": op4_pii,
+    "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
