@@ -248,6 +248,22 @@ def train(docs: DataFrame, per_lang: int = 400, held_out_mod: int = 5, **kw) ->
     return fit([(r["text"] or "", r["lang"]) for r in rows.select("text", "lang").collect()], **kw)
 
 
+def masses(crf: Crf, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, their numbers, word posteriors, and posterior mass (text, language)."""
+    m = len(crf.langs)
+    split = [words_of(t) if m else [] for t in texts]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    flat = [w for s in split for w in s]
+    if not flat:
+        return split, lengths, np.zeros((0, m)), np.zeros((len(split), m))
+    distinct = list(dict.fromkeys(flat))
+    index = dict(zip(distinct, range(len(distinct))))
+    word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+    post, _ = posteriors(crf.emissions(distinct)[word], lengths, crf.start, crf.transition)
+    doc = np.repeat(np.arange(len(split)), lengths)
+    return split, lengths, post, np.stack([np.bincount(doc, post[:, j], len(split)) for j in range(m)], 1)
+
+
 RUNS = "array<struct<lang:string,first_word:int,n_words:int>>"
 
 
@@ -264,15 +280,9 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
         def step(batch: pa.RecordBatch):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for lo, hi in text_slices(texts, 1_500_000):
-                split = [words_of(t) if m else [] for t in texts[lo:hi]]
-                lengths = np.fromiter(map(len, split), np.int64, len(split))
+                split, lengths, post, mass = masses(crf, texts[lo:hi])
                 flat = [w for s in split for w in s]
-                distinct = list(dict.fromkeys(flat))
-                index = dict(zip(distinct, range(len(distinct))))
-                word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-                post = posteriors(crf.emissions(distinct)[word], lengths, crf.start, crf.transition)[0] if flat else np.zeros((0, m))
                 doc = np.repeat(np.arange(len(split)), lengths)
-                mass = np.stack([np.bincount(doc, post[:, j], len(split)) for j in range(m)], 1) if m else np.zeros((len(split), 0))
                 best = post.argmax(1) if m else np.zeros(0, np.int64)
                 new = np.ones(len(flat), bool)
                 new[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
@@ -298,3 +308,22 @@ def predict(docs: DataFrame, model: Crf, held_out_mod: int = 5) -> DataFrame:
         "doc_id", F.coalesce(id_remainder(F.col("doc_id"), held_out_mod) == 0, F.lit(False)).alias("held_out"),
         F.when(has, named).otherwise("und").alias("lang_pred"),
         F.when(has, F.least(F.lit(1.0), most / F.col("n_words"))).otherwise(0.0).alias("score"))
+
+
+def accepted(docs: DataFrame, model: Crf, min_score: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` (all columns as they are) whose text has words and one language with at least
+    ``min_score`` of the posterior mass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def make():
+        crf = shared.value
+
+        def step(batch: pa.RecordBatch):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for lo, hi in text_slices(texts, 1_500_000):
+                split, lengths, _, mass = masses(crf, texts[lo:hi])
+                keep = mass.max(1, initial=0) >= min_score * np.maximum(lengths, 1)
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep & (lengths > 0)))
+        return step
+    return map_batches(docs, make, docs.schema)

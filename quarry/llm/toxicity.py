@@ -275,3 +275,19 @@ def score(docs: DataFrame, model: ToxicModel, held_out_mod: int = 5) -> DataFram
     return map_batches(text_rows(docs), make, "doc_id long, score double").select(
         "doc_id", F.coalesce(id_remainder(F.col("doc_id"), held_out_mod) == 0, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns as they are) that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def make():
+        own = shared.value
+        finder = own.finder()
+
+        def step(batch: pa.RecordBatch):
+            keep = [own.score(finder, t or "") < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+        return step
+    return map_batches(docs, make, docs.schema)
