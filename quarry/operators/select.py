@@ -1,17 +1,13 @@
 """Adaptive selection, "step 3" (operators G1-G10).
 
-The selection is greedy and order dependent, but a question holds at most
-``pool_cap`` rows, so each question is one array row folded in Python, many
-questions per Arrow batch. All string work
-(name keys, entity matches, token estimates) is done in Spark SQL before the fold;
-the fold only sees numbers and booleans.
+The selection is order dependent, but a question holds at most ``pool_cap`` rows. So each
+question is one array row, and the passes are SQL folds (``aggregate``) over it inside the
+JVM: each pass is a list of places to look at and a condition to take one.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, RetrievalConfig
@@ -19,10 +15,6 @@ from quarry.functions.text import norm_key, token_estimate
 from quarry.operators.questions import extract_entities, is_complex
 from quarry.operators.rerank import name_keys
 
-SELECT_SCHEMA = ("question_id {qt}, doc_key string, doc_id {dt}, prob double, tokens int, sel_rank int, "
-                 "covered array<string>")
-
-
 def doc_cap(complex_col, cfg: RetrievalConfig = DEFAULT):
     """5 documents for complex questions, else 2."""
     return F.when(complex_col, F.lit(cfg.max_docs_complex)).otherwise(F.lit(cfg.max_docs_simple))
@@ -45,106 +37,102 @@ def selection_inputs(final: DataFrame, questions: DataFrame, kb: DataFrame, cfg:
                     F.transform("anchors", lambda a: nm.contains(a)).alias("name_has"))
 
 
-def _select_one(items: list, anchors: list, max_docs: int, cfg: RetrievalConfig):
-    """G3-G8 for one question; ``items`` are dicts in final order with keys prob,
-    tokens, key_match, name_has (per anchor). Returns (chosen indices in probability
-    order, covered anchors)."""
-    n = len(items)
-    probs = np.array([float(it["prob"]) for it in items], dtype=float)
-    toks = [int(it["tokens"]) for it in items]
-    ps = np.sort(probs)[::-1]
-    top1 = ps[0] if n else 0.0
-    top2 = ps[1] if n > 1 else 0.0
-    if (top1 < cfg.abstain_top1) and (ps[:5].sum() < cfg.abstain_top5_sum) and ((top1 - top2) < cfg.abstain_gap):
-        return [], []  # G3 abstain
-    sel, covered, total = [], [], 0
-
-    def fits(i):
-        return len(sel) < max_docs and total + toks[i] <= cfg.max_tokens
-
-    for ai, a in enumerate(anchors):  # G4 anchor pass
-        best_i, best_p = -1, -1.0
-        for i in range(n):
-            if items[i]["key_match"][ai] and probs[i] >= cfg.anchor_min_prob and probs[i] > best_p:
-                best_p, best_i = probs[i], i
-        if best_i >= 0:
-            if best_i in sel:
-                if a not in covered:
-                    covered.append(a)
-            elif fits(best_i):
-                sel.append(best_i)
-                total += toks[best_i]
-                if a not in covered:
-                    covered.append(a)
-    for ai, a in enumerate(anchors):  # G5 force a document for uncovered entities
-        if a in covered:
-            continue
-        for i in range(n):
-            if i not in sel and items[i]["name_has"][ai] and fits(i):
-                sel.append(i)
-                total += toks[i]
-                covered.append(a)
-                break
-    mass = probs.sum() if probs.sum() > 0 else 1.0
-    cum = probs[sel].sum() / mass if sel else 0.0
-    i = 0
-    while (cum < cfg.relevance_threshold or len(sel) < cfg.min_docs) and len(sel) < max_docs and i < n:  # G6
-        if i not in sel and probs[i] >= cfg.anchor_min_prob and total + toks[i] <= cfg.max_tokens:
-            sel.append(i)
-            total += toks[i]
-            cum = probs[sel].sum() / mass
-        i += 1
-    i = 0
-    while len(sel) < cfg.min_docs and i < n:  # G7
-        if i not in sel and fits(i):
-            sel.append(i)
-            total += toks[i]
-        i += 1
-    return sorted(sel, key=lambda j: -probs[j]), covered  # stable: ties keep selection order
+STATE = "struct<sel:array<int>,total:bigint,mass:double,covered:array<string>>"
+
+
+def _state(sel: Column, total: Column, mass: Column, covered: Column) -> Column:
+    return F.struct(sel.alias("sel"), total.cast("long").alias("total"), mass.cast("double").alias("mass"), covered.alias("covered"))
+
+
+def _fold(places: Column, start: Column, step) -> Column:
+    return F.aggregate(places, start, lambda s, i: step(s, i).cast(STATE))
+
+
+class _Places:
+    """The rows of one question as an array ``items``; places count from 1 in final order."""
+
+    def __init__(self, cfg: RetrievalConfig):
+        self.cfg = cfg
+        self.items, self.max_docs = F.col("items"), F.col("max_docs")
+        self.all = F.sequence(F.lit(1), F.size("items"))
+
+    def at(self, i: Column) -> Column:
+        return F.element_at(self.items, i)
+
+    def room(self, s: Column, i: Column) -> Column:
+        """Place ``i`` is free and fits the document and token limits."""
+        return (~F.array_contains(s["sel"], i) & (F.size(s["sel"]) < self.max_docs)
+                & (s["total"] + self.at(i)["tokens"] <= self.cfg.max_tokens))
+
+    def take(self, s: Column, i: Column, covered: Column | None = None) -> Column:
+        row = self.at(i)
+        return _state(F.concat(s["sel"], F.array(i)), s["total"] + row["tokens"], s["mass"] + row["prob"],
+                      s["covered"] if covered is None else covered)
+
+    def cover(self, s: Column, anchor: Column) -> Column:
+        return F.array_union(s["covered"], F.array(anchor))
+
+    def anchor_pass(self, s: Column, a: Column) -> Column:
+        """The most probable row whose name or alias is the entity (earlier on ties)."""
+        named = F.filter(self.all, lambda i: F.element_at(self.at(i)["key_match"], a) & (self.at(i)["prob"] >= self.cfg.anchor_min_prob))
+        best = -F.array_max(F.transform(named, lambda i: F.struct(self.at(i)["prob"].alias("p"), (-i).alias("back"))))["back"]
+        covered = self.cover(s, F.element_at("anchors", a))
+        return (F.when(best.isNull(), s)
+                .when(F.array_contains(s["sel"], best), _state(s["sel"], s["total"], s["mass"], covered))
+                .when(self.room(s, best), self.take(s, best, covered)).otherwise(s))
+
+    def entity_pass(self, s: Column, a: Column) -> Column:
+        """An entity without a document takes the first row that names it and fits."""
+        fits = F.filter(self.all, lambda i: F.element_at(self.at(i)["name_has"], a) & self.room(s, i))
+        anchor = F.element_at("anchors", a)
+        return F.when(F.array_contains(s["covered"], anchor) | (F.size(fits) == 0), s).otherwise(
+            self.take(s, F.element_at(fits, F.lit(1)), self.cover(s, anchor)))
+
+    def mass_pass(self, s: Column, i: Column) -> Column:
+        """In order, until the wanted share of the probability is reached."""
+        mass = F.aggregate(self.items, F.lit(0.0), lambda t, row: t + row["prob"])
+        short = (s["mass"] / F.when(mass > 0, mass).otherwise(F.lit(1.0)) < self.cfg.relevance_threshold) | (F.size(s["sel"]) < self.cfg.min_docs)
+        return F.when(short & (self.at(i)["prob"] >= self.cfg.anchor_min_prob) & self.room(s, i), self.take(s, i)).otherwise(s)
+
+    def least_pass(self, s: Column, i: Column) -> Column:
+        """In order, until the minimum number of documents is reached."""
+        return F.when((F.size(s["sel"]) < self.cfg.min_docs) & self.room(s, i), self.take(s, i)).otherwise(s)
+
+    def abstains(self) -> Column:
+        """No row stands out."""
+        p = F.reverse(F.array_sort(F.transform(self.items, lambda row: row["prob"])))
+        nth = lambda n: F.coalesce(F.try_element_at(p, F.lit(n)), F.lit(0.0))
+        five = F.aggregate(F.slice(p, 1, 5), F.lit(0.0), lambda t, x: t + x)
+        return (nth(1) < self.cfg.abstain_top1) & (five < self.cfg.abstain_top5_sum) & (nth(1) - nth(2) < self.cfg.abstain_gap)
 
 
 def adaptive_select(final: DataFrame, questions: DataFrame, kb: DataFrame, cfg: RetrievalConfig = DEFAULT
                     ) -> DataFrame:
     """Abstain gate, anchor pass, forced entity documents, mass fill, minimum
-    documents; a document is never taken twice; result ordered by probability.
-    Each question's <= pool_cap rows become one array row; ``mapInPandas`` folds a
-    whole Arrow batch of questions per Python call.
-    -> question_id, doc_key, doc_id, prob, tokens, sel_rank, covered."""
+    documents; a document is never taken twice; result ordered by probability (the order of
+    taking on ties). -> question_id, doc_key, doc_id, prob, tokens, sel_rank, covered."""
     inp = selection_inputs(final, questions, kb, cfg)
-    qt = inp.schema["question_id"].dataType.simpleString()
-    dt = inp.schema["doc_id"].dataType.simpleString()
     per_q = inp.groupBy("question_id").agg(
         F.first("anchors").alias("anchors"), F.first("max_docs").alias("max_docs"),
         F.array_sort(F.collect_list(F.struct("final_rank", "doc_key", "doc_id", "prob", "tokens", "key_match",
                                              "name_has"))).alias("items"))
+    return fold_selection(per_q, cfg)
+
 
-    def run(batches):
-        for pdf in batches:
-            cols = {k: [] for k in ("question_id", "doc_key", "doc_id", "prob", "tokens", "sel_rank", "covered")}
-            for qid, anchors, max_docs, items in zip(pdf["question_id"], pdf["anchors"], pdf["max_docs"],
-                                                     pdf["items"]):
-                items = list(items)
-                anchors = list(anchors) if anchors is not None else []
-                sel, covered = _select_one(items, anchors, int(max_docs), cfg)
-                for rank, i in enumerate(sel, 1):
-                    it = items[i]
-                    cols["question_id"].append(qid)
-                    cols["doc_key"].append(it["doc_key"])
-                    cols["doc_id"].append(it["doc_id"])
-                    cols["prob"].append(float(it["prob"]))
-                    cols["tokens"].append(int(it["tokens"]))
-                    cols["sel_rank"].append(rank)
-                    cols["covered"].append(list(covered))
-            yield pd.DataFrame({
-                "question_id": pd.Series(cols["question_id"], dtype=pdf["question_id"].dtype),
-                "doc_key": pd.Series(cols["doc_key"], dtype=object),
-                "doc_id": pd.Series(cols["doc_id"], dtype=object),
-                "prob": pd.Series(cols["prob"], dtype="float64"),
-                "tokens": pd.Series(cols["tokens"], dtype="int32"),
-                "sel_rank": pd.Series(cols["sel_rank"], dtype="int32"),
-                "covered": pd.Series(cols["covered"], dtype=object)})
-
-    return per_q.mapInPandas(run, SELECT_SCHEMA.format(qt=qt, dt=dt))
+def fold_selection(per_q: DataFrame, cfg: RetrievalConfig = DEFAULT) -> DataFrame:
+    """G3-G8 over (question_id, anchors, max_docs, items in final order)."""
+    p = _Places(cfg)
+    per_q = per_q.withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>"))).where(~p.abstains())
+    none = _state(F.array().cast("array<int>"), F.lit(0), F.lit(0.0), F.array().cast("array<string>")).cast(STATE)
+    entities = F.when(F.size("anchors") > 0, F.sequence(F.lit(1), F.size("anchors"))).otherwise(F.array().cast("array<int>"))
+    for name, places, step in (("s4", entities, p.anchor_pass), ("s5", entities, p.entity_pass),
+                               ("s6", p.all, p.mass_pass), ("s7", p.all, p.least_pass)):
+        per_q = per_q.withColumn(name, _fold(places, none, step))
+        none = F.col(name)
+    taken = F.array_sort(F.transform("s7.sel", lambda i, n: F.struct((-p.at(i)["prob"]).alias("p"), n.alias("n"), i.alias("i"))))
+    return per_q.select("question_id", "items", F.col("s7.covered").alias("covered"), F.posexplode(taken).alias("pos", "t")) \
+        .select("question_id", F.element_at("items", F.col("t.i")).alias("row"), (F.col("pos") + 1).alias("sel_rank"), "covered") \
+        .select("question_id", "row.doc_key", "row.doc_id", "row.prob", F.col("row.tokens").cast("int").alias("tokens"), "sel_rank", "covered")
 
 
 def coverage_report(selected: DataFrame, questions: DataFrame) -> DataFrame:
@@ -159,13 +147,16 @@ def coverage_report(selected: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def selection_summary(selected: DataFrame, final: DataFrame, kb: DataFrame) -> DataFrame:
-    """Documents selected, share of the probability mass, tokens, 200-char preview."""
+    """Documents selected, share of the probability mass, tokens, 200-char preview; a
+    question that abstained has 0 documents."""
     mass = final.groupBy("question_id").agg(F.sum("prob").alias("mass"))
     s = selected.join(kb.select("doc_id", "content"), "doc_id")
     agg = s.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("n_selected"), F.sum("prob").alias("p_sel"), F.sum("tokens").alias("tokens"),
         F.min_by(F.substring("content", 1, 200), "sel_rank").alias("preview"))
-    return agg.join(mass, "question_id").select(
-        "question_id", "n_selected",
-        F.when(F.col("mass") > 0, F.col("p_sel") / F.col("mass")).otherwise(F.col("p_sel")).alias("mass_share"),
-        "tokens", "preview")
+    none = F.lit(0).cast("long")
+    p_sel = F.coalesce("p_sel", F.lit(0.0))
+    return mass.join(agg, "question_id", "left").select(
+        "question_id", F.coalesce("n_selected", none).alias("n_selected"),
+        F.when(F.col("mass") > 0, p_sel / F.col("mass")).otherwise(p_sel).alias("mass_share"),
+        F.coalesce("tokens", none).alias("tokens"), F.coalesce("preview", F.lit("")).alias("preview"))
