@@ -55,8 +55,6 @@ class RetrievalConfig:
     api_min_similarity: float = 0.48
     validation_pass: float = 0.60
     validation_partial: float = 0.50
-    # sparse TF-IDF embedder: tokens in more than this share of documents are dropped
-    max_df_share: float = 0.10
     dense_dim: int = 64
     # physical sizing: questions are broadcast to KB partitions only below this many
     # vector rows (checked with a count); above it the exact blocked product is used

@@ -84,21 +84,22 @@ def candidate_splits(text: Column, max_parts: int = 5) -> Column:
 
 def parse_subquestion_json(response: Column, submitted: Column) -> Column:
     """``sub_questions`` from a fenced or bare JSON response (<= 5 items,
-    trimmed, <= 200 chars); without usable items -> [submitted]; unparsable ->
-    the C10/C11 candidate splits of the submitted text."""
+    trimmed, <= 200 chars, strings only); an object without usable items -> [submitted]; broken JSON
+    or no object -> the C10/C11 candidate splits of the submitted text."""
     r = _strip(F.coalesce(response, F.lit("")))
     fenced_json = F.regexp_extract(r, r"(?is)```json(.*?)```", 1)
     fenced = F.regexp_extract(r, r"(?s)```(.*?)```", 1)
     body = _strip(F.when(F.lower(r).contains("```json") & r.rlike(r"(?is)```json.*?```"), fenced_json)
                   .when(r.contains("```") & r.rlike(r"(?s)```.*?```"), fenced).otherwise(r))
-    parsed = F.from_json(body, "struct<sub_questions: array<string>>")
-    subs = parsed["sub_questions"]
-    clean = F.transform(F.filter(F.slice(F.coalesce(subs, F.array().cast("array<string>")), 1, 5),
-                                 lambda q: q.isNotNull() & (_strip(q) != "")),
-                        lambda q: F.substring(_strip(q), 1, 200))
-    ok = parsed.isNotNull() & body.startswith("{")
-    return F.when(ok & (F.size(clean) > 0), clean).when(ok, F.array(submitted)).otherwise(
-        candidate_splits(submitted, 5))
+    parsed = F.try_parse_json(body)
+    kind = F.schema_of_variant(parsed)
+    given = F.try_variant_get(parsed, "$.sub_questions", "array<variant>")
+    texts = F.transform(F.filter(F.slice(given, 1, 5), lambda v: F.schema_of_variant(v) == "STRING"),
+                        lambda v: F.substring(_strip(F.variant_get(v, "$", "string")), 1, 200))
+    clean = F.filter(texts, lambda q: q != "")
+    usable = kind.startswith("OBJECT") & (given.isNotNull() | ~kind.contains("sub_questions: "))
+    return (F.when(~F.coalesce(usable, F.lit(False)), candidate_splits(submitted, 5))
+            .when(F.coalesce(F.size(clean), F.lit(0)) > 0, clean).otherwise(F.array(submitted)))
 
 
 def decompose(questions: DataFrame, max_subqs: int = 3, text_col: str = "question") -> DataFrame:

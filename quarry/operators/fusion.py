@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, RetrievalConfig
-from quarry.operators.questions import (doc_mentions, extract_entities, mention_terms, parse_alt_names,
+from quarry.operators.questions import (alias_table, doc_mentions, extract_entities, mention_terms, parse_alt_names,
                                         quoted_phrases, relation_profile)
 
 LIST_ORDER = ["full", "entity", "name_boost", "pair", "rel", "vs"]
@@ -251,24 +251,33 @@ def fusion_stats(pool: DataFrame, hits: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- E15
 
+# ---- fixed values: title bonuses of the weighted RRF
+NAME_BOOST = 0.35
+BOTH_NAMES_BOOST = 0.20
+
 
 def weighted_rrf(hits: DataFrame, kb: DataFrame, questions_e: DataFrame, list_weights: dict | None = None,
-                 rrf_k: int = 60) -> DataFrame:
-    """Sum of w / (rrf_k + rank) with 1-based rank per list; +0.35 if the doc
-    name contains any entity or alias; +0.20 if the question has two or more
-    entities; per-list contributions as a map."""
+                 rrf_k: int = 60, aliases: DataFrame | None = None) -> DataFrame:
+    """Sum of w / (rrf_k + rank) with 1-based rank per list; ``name_boost`` if the
+    document's title contains an entity of the question or one of that entity's aliases,
+    ``both_names`` on top if it does so for two different entities; contributions per list and
+    bonus as a map. ``aliases``: (name_lc, aliases), the KB's own by default."""
     lw = list_weights or {}
     w = reduce(lambda acc, kv: acc.when(F.col("list_name") == kv[0], F.lit(kv[1])), lw.items(), F).otherwise(
         F.lit(1.0)) if lw else F.lit(1.0)
-    contrib = hits.groupBy("question_id", "doc_key", "list_name").agg(
-        F.sum(w / (F.lit(rrf_k) + F.col("rank0") + 1)).alias("c"))
-    per = contrib.groupBy("question_id", "doc_key").agg(
-        F.sum("c").alias("rrf"), F.map_from_entries(F.collect_list(F.struct("list_name", "c"))).alias("contributions"))
-    names = hits.select("question_id", "doc_key", "doc_id").dropDuplicates(["question_id", "doc_key"]).join(
-        kb.select("doc_id", "name", "alternative_names"), "doc_id")
-    x = per.join(names, ["question_id", "doc_key"]).join(questions_e.select("question_id", "entities"), "question_id")
-    title = F.lower(F.coalesce("name", F.lit("")))
-    terms = F.transform(F.concat(F.col("entities"), parse_alt_names("alternative_names")), F.lower)
-    bonus = (F.when(F.exists(terms, lambda t: (t != "") & title.contains(t)), F.lit(0.35)).otherwise(F.lit(0.0)) +
-             F.when(F.size("entities") >= 2, F.lit(0.20)).otherwise(F.lit(0.0)))
-    return x.select("question_id", "doc_key", (F.col("rrf") + bonus).alias("score"), "contributions")
+    contrib = hits.select("question_id", "doc_key", "list_name", (w / (F.lit(rrf_k) + F.col("rank0") + 1)).alias("c"))
+    order = [c for c in ("list_order", "subq_no", "rank0", "doc_id") if c in hits.columns]
+    titles = hits.groupBy("question_id", "doc_key").agg(F.min_by("doc_id", F.struct(*order)).alias("doc_id")).join(
+        kb.select("doc_id", F.lower(F.coalesce("name", F.lit(""))).alias("title")), "doc_id")
+    known = aliases if aliases is not None else alias_table(kb)
+    ents = questions_e.select("question_id", F.explode(F.array_distinct("entities")).alias("e"))
+    terms = ents.join(known, F.lower("e") == F.col("name_lc"), "left").groupBy("question_id").agg(
+        F.collect_list(mention_terms(F.col("e"), F.col("aliases"))).alias("terms"))  # one row per entity of a question
+    named = titles.join(terms, "question_id").withColumn(
+        "n_named", F.size(F.filter("terms", lambda ts: F.exists(ts, lambda t: (t != "") & F.col("title").contains(t)))))
+    bonus = F.array(F.when(F.col("n_named") >= 1, F.struct(F.lit("name_boost").alias("list_name"), F.lit(NAME_BOOST).alias("c"))),
+                    F.when(F.col("n_named") >= 2, F.struct(F.lit("both_names").alias("list_name"), F.lit(BOTH_NAMES_BOOST).alias("c"))))
+    extra = named.select("question_id", "doc_key", F.explode(F.array_compact(bonus)).alias("b")).select("question_id", "doc_key", "b.*")
+    per_list = contrib.unionByName(extra).groupBy("question_id", "doc_key", "list_name").agg(F.sum("c").alias("c"))
+    return per_list.groupBy("question_id", "doc_key").agg(
+        F.sum("c").alias("score"), F.map_from_entries(F.collect_list(F.struct("list_name", "c"))).alias("contributions"))

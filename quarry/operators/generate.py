@@ -9,8 +9,7 @@ the sampled entities, and the final draw orders them by hash.
 
 from __future__ import annotations
 
-import math
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.typos import inject_typo, question_word_typo
@@ -30,13 +29,6 @@ RELATION_TEMPLATES = ["What is the relation between {name1} and {name2}?",
                       "How are {name1} and {name2} related?"]
 
 
-def hash_unit(*cols) -> F.Column:
-    """Deterministic number in [0, 1) from md5 of the joined columns (60 bits)."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c) if isinstance(c, str) else c for c in cols])), 1, 15),
-               16, 10).cast("decimal(20,0)")
-    return (h / F.lit(2 ** 60)).cast("double")
-
-
 def hash_id(*cols) -> F.Column:
     """Deterministic 60-bit id from md5 of the joined columns."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c) if isinstance(c, str) else c for c in cols])), 1, 15),
@@ -102,56 +94,62 @@ def question_word_typos(questions: DataFrame, seed: int = 42) -> DataFrame:
 # ---------------------------------------------------------------- I9-I12
 
 
-def sample_relationship_pairs(entities: DataFrame, target_questions: int = 980, seed: int = 42,
-                              oversample: float = 3.0) -> DataFrame:
+def number_within_type(entities: DataFrame, bucket_rows: int = 50_000, n_rows: int = 0) -> DataFrame:
+    """(type, ek, name, no): entities numbered from 0 within their type. Numbers are ranks within
+    (type, bucket) plus the rows of the type's earlier buckets, so a large type is no single task."""
+    e = entities.select("type", F.col("entity_key").cast("string").alias("ek"), "name")
+    e = e.withColumn("b", F.pmod(F.xxhash64("ek"), F.lit(max(1, -(-n_rows // bucket_rows)))))
+    before = Window.partitionBy("type").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    start = e.groupBy("type", "b").count().select("type", "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("type", "b").orderBy("ek", "name")) - 1
+    return e.withColumn("r", rank).join(start, ["type", "b"]).select("type", "ek", "name", (F.col("r") + F.col("start")).alias("no"))
+
+
+def sample_relationship_pairs(entities: DataFrame, target_questions: int = 980, seed: int = 42) -> DataFrame:
     """``target_questions // 3`` pairs drawn uniformly, without replacement,
-    from within-type pairs plus up to min(10, n1, n2) cross-type pairs per type pair.
+    from within-type pairs plus min(10, n1, n2) random cross-type pairs per type pair.
 
+    All pairs are numbered without being listed: distinct pair numbers are drawn by hash, each
+    is turned into two entity numbers, and these are joined to the numbered entities.
     ``entities``: (type, entity_key, name). Runs one small aggregate action (entity
-    counts per type) to size the sampling rate.
+    counts per type).
     """
-    target_pairs = target_questions // 3
+    target = target_questions // 3
     counts = {r["type"]: r["n"] for r in entities.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
     types = sorted(counts)
-    within_total = sum(n * (n - 1) // 2 for n in counts.values())
-    cross_total = sum(min(10, counts[a], counts[b]) for i, a in enumerate(types) for b in types[i + 1:])
-    total = within_total + cross_total
-    # inclusion probability per pair = rate^2; aim for oversample x target pairs
-    rate = 1.0 if total == 0 else min(1.0, math.sqrt(oversample * max(target_pairs, 1) / total))
-    e = entities.select("type", F.col("entity_key").cast("string").alias("ek"), "name")
-    e = e.withColumn("u", hash_unit(F.lit(str(seed)), F.lit("keep"), "type", "ek"))
-    kept = e.where(F.col("u") < rate)
-    a, b = kept.alias("a"), kept.alias("b")
-    within = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.ek") < F.col("b.ek"))).select(
-        F.col("a.type").alias("type1"), F.col("a.ek").alias("ek1"), F.col("a.name").alias("name1"),
-        F.col("b.type").alias("type2"), F.col("b.ek").alias("ek2"), F.col("b.name").alias("name2"),
-        F.lit(-1).alias("draw"))
-    # cross-type draws: one aggregation over a tiny (type pair, side, draw) table that
-    # holds min(10, n1, n2) draws per type pair (bounded by types^2 x 10 rows)
+    # (first pair number, type 1, type 2): a range of pair numbers per type, then per pair of types
+    ranges, total = [], 0
+    for t in types:
+        ranges.append((total, t, t))
+        total += counts[t] * (counts[t] - 1) // 2
+    for i, a in enumerate(types):
+        for b in types[i + 1:]:
+            ranges.append((total, a, b))
+            total += min(10, counts[a], counts[b])
     spark = entities.sparkSession
-    meta_rows = [(t1, t2, side, t, d) for i, t1 in enumerate(types) for t2 in types[i + 1:]
-                 for side, t in ((1, t1), (2, t2)) for d in range(min(10, counts[t1], counts[t2]))]
-    if meta_rows:
-        meta = spark.createDataFrame(meta_rows, "type1 string, type2 string, side int, type string, draw int")
-        # ``meta`` is built here from the per-type counts: at most types^2 x 20 rows
-        picks = (e.join(F.broadcast(meta), "type")
-                 .withColumn("h", hash_unit(F.lit(str(seed)), "type1", "type2", "draw", "ek"))
-                 .groupBy("type1", "type2", "side", "draw")
-                 .agg(F.min_by(F.struct("ek", "name"), "h").alias("pick")))
-        s1 = picks.where("side = 1").select("type1", "type2", "draw", F.col("pick.ek").alias("ek1"),
-                                              F.col("pick.name").alias("name1"))
-        s2 = picks.where("side = 2").select("type1", "type2", "draw", F.col("pick.ek").alias("ek2"),
-                                              F.col("pick.name").alias("name2"))
-        cross = s1.join(s2, ["type1", "type2", "draw"]).select("type1", "ek1", "name1", "type2", "ek2", "name2", "draw")
-        # cross pairs get the same inclusion probability as within pairs
-        cross = cross.where(hash_unit(F.lit(str(seed)), F.lit("cross"), "type1", "type2", "draw") < rate * rate)
-        pairs = within.unionByName(cross)
-    else:
-        pairs = within
-    order = hash_unit(F.lit(str(seed)), "type1", "ek1", "type2", "ek2", "draw")
-    # the final draw is a bounded top-n (the sampling feature itself)
-    return pairs.withColumn("o", order).orderBy("o", "type1", "ek1", "type2", "ek2", "draw").limit(
-        target_pairs).drop("o")
+    u = F.xxhash64(F.lit(seed), F.col("id"))
+    if total <= 4 * target + 1_000:
+        drawn = spark.range(total).select(F.col("id").alias("n"), u.alias("o"))
+    else:  # enough draws that distinct numbers cannot run short
+        drawn = spark.range(8 * target + 1_000).select(F.pmod(u, F.lit(total)).alias("n"), F.col("id").alias("o")) \
+            .groupBy("n").agg(F.min("o").alias("o"))
+    drawn = drawn.orderBy("o", "n").limit(target)  # the sample asked for
+    at = F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(a).alias("type1"), F.lit(b).alias("type2"), F.lit(counts[a]).cast("long").alias("n1"),
+                            F.lit(counts[b]).cast("long").alias("n2")) for lo, a, b in ranges]) if total else F.array(F.expr("named_struct('lo', 0L, 'type1', '', 'type2', '', 'n1', 0L, 'n2', 0L)"))
+    x = drawn.withColumn("at", F.element_at(F.filter(at, lambda g: g["lo"] <= F.col("n")), -1)).select("n", "o", "at.*") \
+        .withColumn("k", F.col("n") - F.col("lo"))
+    # pair k of a type is (i, j) with i < j and k = j (j - 1) / 2 + i; the root is corrected for rounding
+    j0 = F.floor((1 + F.sqrt(1 + 8 * F.col("k").cast("double"))) / 2)
+    below = lambda j: F.expr(f"{j} * ({j} - 1) div 2")
+    x = x.withColumn("j0", j0).withColumn("j", F.col("j0") + F.when(below("j0") > F.col("k"), -1).when(F.expr("j0 * (j0 + 1) div 2") <= F.col("k"), 1).otherwise(0))
+    same = F.col("type1") == F.col("type2")
+    pick = lambda side, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "type1", "type2", "k"), F.greatest(F.col(n), F.lit(1)))
+    x = x.select("type1", "type2", "o", F.when(same, F.lit(-1)).otherwise(F.col("k")).cast("int").alias("draw"),
+                 F.when(same, F.col("k") - below("j")).otherwise(pick("a", "n1")).alias("no1"), F.when(same, F.col("j")).otherwise(pick("b", "n2")).alias("no2"))
+    e = number_within_type(entities, n_rows=sum(counts.values()))
+    side = lambda s: e.select(F.col("type").alias(f"type{s}"), F.col("no").alias(f"no{s}"), F.col("ek").alias(f"ek{s}"), F.col("name").alias(f"name{s}"))
+    return x.join(side(1), ["type1", "no1"]).join(side(2), ["type2", "no2"]) \
+        .select("type1", "ek1", "name1", "type2", "ek2", "name2", "draw")
 
 
 def relationship_questions(pairs: DataFrame) -> DataFrame:

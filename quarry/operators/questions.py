@@ -164,13 +164,19 @@ C3_DOMAIN_KEYWORDS = ["accuracy", "adaptability", "accessibility", "access cost"
 WORD = r"[\p{L}\p{N}_]"
 
 
+def _grams(text: Column) -> Column:
+    """Distinct character 3-grams."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)),
+                                        lambda i: F.substr(text, i, F.lit(3))))
+
+
 def extract_anchors_extended(df: DataFrame, text_col: str = "question", out: str = "anchors_ext",
                              known: DataFrame | None = None) -> DataFrame:
     """Quoted spans, capitalised phrases, between / trade-off / vs / (comparison)
     or sides, known entities, indicator contexts when fewer than two were found;
     normalised, blacklist and > 4-word anchors dropped, domain keywords added.
-    ``known`` (name column) is matched by an n-gram equi-join (1-5 words) on the
-    question, then verified (a word for one-word names, a substring otherwise)."""
+    ``known`` (name column): a one-word name must be a blank-separated word of the question, a longer
+    one a substring (candidates by an equi-join on character 3-grams, then verified)."""
     q = F.col(text_col)
     ql_name, q_name = f"_{out}_ql", f"_{out}_raw"
     df = df.withColumn(ql_name, F.lower(q))
@@ -190,18 +196,18 @@ def extract_anchors_extended(df: DataFrame, text_col: str = "question", out: str
     structural = F.filter(F.concat(between, tradeoff, vs, ors), lambda e: (e != "") & (F.length(e) > 1))
     df = df.withColumn(q_name, F.array_distinct(F.concat(quoted, caps, structural)))
     if known is not None:
-        words = F.split(ql, r"\s+")
-        toks = F.regexp_extract_all(ql, F.lit(r"[\p{L}\p{N}]+"), 0)
-        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.flatten(F.array(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
-                        lambda i: F.array_join(F.slice(words, i, n), " ")),
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))),
-                        lambda i: F.array_join(F.slice(toks, i, n), " "))))))
-        names = known.select(F.lower(F.col("name")).alias("kn")).where(F.col("kn") != "").distinct()
-        qg = df.select("question_id", ql_name, F.explode(F.array_distinct(grams)).alias("kn"))
-        hit = qg.join(names, "kn").where(
-            F.when(F.size(F.split("kn", " ")) == 1, F.array_contains(F.split(F.col(ql_name), r"\s+"), F.col("kn")))
-            .otherwise(F.col(ql_name).contains(F.col("kn"))))
+        names = known.select(F.lower(F.col("name")).alias("kn")).where(_strip(F.col("kn")) != "").distinct()
+        single = F.size(F.filter(F.split("kn", r"\s+"), lambda w: w != "")) == 1
+        asked = df.select("question_id", ql_name)
+        in_words = asked.select("question_id", F.explode(F.array_distinct(F.split(ql, r"\s+"))).alias("w"))
+        one = in_words.join(names.where(single), F.col("w") == _strip(F.col("kn"))).select("question_id", "kn")
+        # longer names are substrings: candidates share the name's rarest character gram
+        longer = names.where(~single).select("kn", F.explode(_grams(F.col("kn"))).alias("gram"))
+        rare = longer.join(longer.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("kn").agg(
+            F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        phrase = asked.select("question_id", ql_name, F.explode(_grams(ql)).alias("gram")).join(rare, "gram") \
+            .where(F.col(ql_name).contains(F.col("kn"))).select("question_id", "kn")
+        hit = one.unionByName(phrase).distinct()
         kn = hit.groupBy("question_id").agg(F.collect_set("kn").alias("_kn"))
         df = df.join(kn, "question_id", "left").withColumn(
             q_name, F.array_distinct(F.concat(F.col(q_name), F.coalesce("_kn", F.array().cast("array<string>")))))

@@ -10,8 +10,8 @@ Two search paths, both exact and returning the same rows:
   cogrouped pandas function. In both cases only ``k`` rows per question leave a
   task, and a ``row_number`` window (planned as WindowGroupLimit) merges them.
 * ``topk_sparse`` over TF-IDF term weights: an inverted-index equi-join on the
-  token, summed per (question, document). No cross join; frequent tokens are cut
-  when the vocabulary is fitted.
+  token, summed per (question, document). No cross join and no cut: frequent tokens
+  count with a small weight, and AQE splits their long posting lists.
 
 Ties are broken by ``round(score, 9) desc, key asc`` everywhere so results are
 deterministic and comparable with SQL.
@@ -39,7 +39,7 @@ class TfidfModel:
 
     vocab: DataFrame  # token, idf
     n_docs: int
-    dfreq: DataFrame | None = None  # token, df over all tokens (no cut)
+    dfreq: DataFrame | None = None  # token, df
 
     def raw_terms(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """-> (id_col, token, w): tf * idf over known tokens, not normalised."""
@@ -66,6 +66,14 @@ def tokens(text):
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 
 
+def smooth_idf(dfreq: DataFrame, n_docs: int) -> DataFrame:
+    """(token, df) -> (token, idf): ln(1 + (N - df + 0.5) / (df + 0.5)). Every token counts; the
+    weight of one in all documents falls towards 0 but stays above it, so a text of
+    frequent words only still has a vector."""
+    n = F.lit(float(n_docs))
+    return dfreq.select("token", F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
 def fit_tfidf(kb: DataFrame, id_col: str, text_col: str, cfg: RetrievalConfig = DEFAULT,
               persist: bool = False) -> TfidfModel:
     """Learn document frequencies (one shuffle on token). Runs a count action. With
@@ -78,9 +86,7 @@ def fit_tfidf(kb: DataFrame, id_col: str, text_col: str, cfg: RetrievalConfig =
     if persist:
         from quarry.session import materialize
         dfreq = materialize(dfreq)
-    vocab = (dfreq.where(F.col("df") <= F.lit(cfg.max_df_share * n_docs))
-             .select("token", F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df")).alias("idf")))
-    return TfidfModel(vocab=vocab, n_docs=n_docs, dfreq=dfreq)
+    return TfidfModel(vocab=smooth_idf(dfreq, n_docs), n_docs=n_docs, dfreq=dfreq)
 
 
 def term_counts(kb: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
@@ -96,9 +102,7 @@ def fit_tfidf_from_counts(tf: DataFrame, n_docs: int, id_col: str = "doc_id", cf
     if persist:
         from quarry.session import materialize
         dfreq = materialize(dfreq)
-    vocab = (dfreq.where(F.col("df") <= F.lit(cfg.max_df_share * n_docs))
-             .select("token", F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df")).alias("idf")))
-    return TfidfModel(vocab=vocab, n_docs=n_docs, dfreq=dfreq)
+    return TfidfModel(vocab=smooth_idf(dfreq, n_docs), n_docs=n_docs, dfreq=dfreq)
 
 
 def dense_from_terms(terms: DataFrame, id_col: str, dim: int = DEFAULT.dense_dim) -> DataFrame:

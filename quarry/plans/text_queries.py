@@ -21,7 +21,7 @@ SQL_TFIDF = f"""
 WITH dt AS (SELECT doc_id, unnest({TOKEN_SQL.format(c='text')}) AS token FROM documents),
 nd AS (SELECT count(*) AS n FROM documents),
 dfq AS (SELECT token, count(DISTINCT doc_id) AS df FROM dt GROUP BY token),
-voc AS (SELECT token, ln(1 + n / df) AS idf FROM dfq, nd WHERE df <= 0.1 * n),
+voc AS (SELECT token, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfq, nd),
 dtf AS (SELECT doc_id, token, count(*) AS tf FROM dt GROUP BY doc_id, token),
 dw0 AS (SELECT doc_id, token, tf * idf AS w FROM dtf JOIN voc USING (token)),
 dw AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw0)
@@ -41,7 +41,8 @@ rk AS (SELECT question_id, doc_id, score,
 
 SQL_KB = r"""
 kb AS (SELECT doc_id, source AS type,
-              regexp_replace(regexp_extract(text, '^\s*(\S+(?:\s+\S+){0,2})', 1), '\s+', ' ', 'g') AS name,
+              trim(coalesce(regexp_replace(regexp_extract(text, '^\s*(\S+(?:\s+\S+){0,2})', 1), '\s+', ' ', 'g'), '')
+                   || ' #' || CAST(doc_id AS VARCHAR), ' ') AS name,
               text AS content FROM documents),
 kbk AS (SELECT doc_id, type, name, content,
                CASE WHEN coalesce(type, '') <> '' AND coalesce(name, '') <> '' THEN type || '::' || name
@@ -49,7 +50,7 @@ kbk AS (SELECT doc_id, type, name, content,
 """
 
 SQL_GOLD = """
-gold AS (SELECT b.item_id AS question_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+gold AS (SELECT b.item_id AS question_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '')
 """
 
 

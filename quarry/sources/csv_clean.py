@@ -1,7 +1,7 @@
 """Dirty CSV sources and clean CSV sinks (operators A1-A5).
 
 Spark's CSV reader does the quoting (fields spanning lines, quotes, blank lines);
-a schema wider than the header catches ragged rows, which are then padded or
+a schema as wide as the widest record catches ragged rows, which are then padded or
 merged into the last column; the field rules are column expressions.
 """
 
@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXTRA_COLUMNS = 16
-
 
 def _strip(c):
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -38,16 +36,29 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return [h.strip() for h in first[0].split(",")] if first else []
 
 
+def _reader(spark: SparkSession, names: list[str]):
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"')
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+            .option("mode", "PERMISSIVE").option("enforceSchema", True).option("maxColumns", 1_000_000))
+
+
+def extra_fields(spark: SparkSession, path: str, cols: list[str]) -> int:
+    """Fields that some record may have beyond the header's: Spark hands back records that do not fit the
+    header as raw text, and a record has at most one field more than it has commas."""
+    raw = _reader(spark, [*cols, "_raw"]).option("columnNameOfCorruptRecord", "_raw").option("columnPruning", False).csv(path)
+    commas = F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit(","), F.lit("")))
+    most = raw.select(commas.alias("n"), *cols).agg(F.max("n"), *[F.count(F.col(c)) for c in cols]).first()[0]
+    return max(0, (most or 0) + 1 - len(cols))
+
+
 def read_dirty_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A1 + A2 + A3: every field a string; multi-line quoted fields joined with one
     blank; short rows padded with ""; extra fields joined to the last column with
     ", "; quote characters removed; fields cleaned."""
     cols = columns or read_header(spark, path)
-    extra = [f"_x{i}" for i in range(EXTRA_COLUMNS)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols + extra])
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"')
-           .option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path))
+    extra = [f"_x{i}" for i in range(extra_fields(spark, path, cols))]
+    raw = _reader(spark, cols + extra).csv(path)
     joined = {c: F.regexp_replace(F.col(c), r"\s*[\r\n]+\s*", " ") for c in cols + extra}
     last = cols[-1]
     merged = F.concat_ws(", ", joined[last], *[joined[x] for x in extra])
@@ -61,7 +72,7 @@ def read_dirty_csv(spark: SparkSession, path: str, columns: list[str] | None = N
 def write_clean_csv(df: DataFrame, path: str) -> None:
     """A4: minimal quoting, backslash escape, no quote doubling, with a header."""
     (df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", "\\")
-     .option("escapeQuotes", True).csv(path))
+     .option("escapeQuotes", True).option("emptyValue", "").csv(path))
 
 
 def clean_all(spark: SparkSession, manifest: dict[str, str], out_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A KB row is ``doc_id, doc_key, type, name, content`` (+ optional alias/subfamily
 arrays). ``documents_kb`` maps the ``documents`` table (type = source, name = first
-three words); ``verbatim_gold`` finds, for each question text, the documents that
+three words and the id); ``verbatim_gold`` finds, for each question text, the documents that
 contain it verbatim.
 """
 
@@ -15,6 +15,9 @@ from quarry.functions.text import doc_key
 from quarry.operators.vectors import tokens
 from quarry.sources.tables import table
 
+#: Characters of a short question that a text must share before it is compared.
+GRAM = 3
+
 FIRST_WORDS = r"^\s*(\S+(?:\s+\S+){0,2})"
 
 
@@ -25,7 +28,8 @@ def first_words(text) -> F.Column:
 
 def documents_kb(spark, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    name = first_words(F.col("text"))
+    # the id makes the name, and so the document key, unique per document
+    name = F.trim(F.concat(F.coalesce(first_words(F.col("text")), F.lit("")), F.lit(" #"), F.col("doc_id").cast("string")))
     return d.select("doc_id", F.col("source").alias("type"), name.alias("name"), F.col("text").alias("content"),
                     "lang", "source", doc_key(F.col("source"), name, F.col("text")).alias("doc_key"))
 
@@ -46,18 +50,25 @@ def verbatim_gold(questions: DataFrame, kb: DataFrame, q_key: str = "question_id
 
     Candidates come from an equi-join on the question's rarest *interior* token
     (a token that is neither first nor last is a whole token of any text containing
-    the question); ``contains`` on the whole texts then verifies. Questions of one or
-    two tokens anchor on their longest token (whole-token occurrences only).
+    the question); ``contains`` on the whole texts then verifies. Questions of fewer than
+    three tokens may sit inside words: their candidates share the first ``GRAM`` characters
+    (or all, if fewer) as a character gram. An empty question has no gold.
     """
+    asked = questions.select(q_key, q_text, tokens(F.col(q_text)).alias("toks")).where(F.col(q_text) != "")
     post = postings(kb, kb_key, kb_text)
     dfreq = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    qt = questions.select(q_key, tokens(F.col(q_text)).alias("toks"))
-    interior = F.when(F.size("toks") >= 3, F.slice("toks", 2, F.size("toks") - 2)).otherwise(F.col("toks"))
-    cand_tok = qt.select(q_key, F.explode(F.array_distinct(interior)).alias("token"))
+    cand_tok = asked.where(F.size("toks") >= 3).select(
+        q_key, F.explode(F.array_distinct(F.slice("toks", 2, F.size("toks") - 2))).alias("token"))
     w = Window.partitionBy(q_key).orderBy(F.col("df").asc(), F.length("token").desc(), F.col("token"))
     anchor = (cand_tok.join(dfreq, "token").withColumn("_r", F.row_number().over(w))
               .where(F.col("_r") == 1).select(q_key, "token"))
     cands = anchor.join(post, "token").select(q_key, kb_key)
+    short = asked.where(F.size("toks") < 3).select(q_key, F.substring(q_text, 1, GRAM).alias("gram"))
+    lengths = [r[0] for r in short.select(F.length("gram")).distinct().collect()]  # at most GRAM rows
+    for n in lengths:
+        grams = kb.select(kb_key, F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(kb_text) - n + 1)), lambda i: F.substr(F.col(kb_text), i, F.lit(n))))).alias("gram"))
+        cands = cands.unionByName(short.where(F.length("gram") == n).join(grams, "gram").select(q_key, kb_key))
     return (cands.join(questions.select(q_key, q_text), q_key).join(kb.select(kb_key, kb_text), kb_key)
             .where(F.col(kb_text).contains(F.col(q_text))).select(q_key, kb_key))
 
@@ -65,14 +76,15 @@ def verbatim_gold(questions: DataFrame, kb: DataFrame, q_key: str = "question_id
 def build_or_load_kb(spark, path: str, build, force: bool = False) -> DataFrame:
     """Reuse the KB stored at ``path`` (a written Parquet table, partitioned by
     ``type``) unless ``force``; otherwise run ``build() -> DataFrame``, write it there
-    and read it back. ``path`` should live in shared storage (e.g. under the
-    session's ``spark.checkpoint.dir``)."""
-    if not force:
-        try:
-            stored = spark.read.parquet(path)
-            if stored.columns:
-                return stored
-        except Exception:  # noqa: BLE001 - a missing or empty folder means "build"
-            pass
-    build().write.mode("overwrite").partitionBy("type").parquet(path)
+    and read it back. A folder without its ``_SUCCESS`` mark was not finished and is
+    written again. ``path`` should live in shared storage (e.g. under the session's
+    ``spark.checkpoint.dir``)."""
+    if force or not _finished(spark, path):
+        build().write.mode("overwrite").partitionBy("type").parquet(path)
     return spark.read.parquet(path)
+
+
+def _finished(spark, path: str) -> bool:
+    """Whether the folder holds Spark's mark of a completed write (asked of the path's own file system)."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
