@@ -21,6 +21,9 @@ fewest unshared shingles, the likeliest original of many near copies), and linke
 are merged. Only then the pairs left, those of different components, are listed. So thousands of
 near copies cost a few pairs each, and no link between different components is missed.
 
+Shingles travel with 48 bits, groups and components are compared by 64-bit hashes, classes by 128
+bits; sizes count 64-bit hashes.
+
 Defined cases: null, empty or blank text has an empty set and is linked with nothing; a null
 ``doc_id`` gets the component of its copies, or null; repeated rows have one result each; an
 empty table gives an empty result; other columns are ignored.
@@ -86,11 +89,11 @@ def _blocks(parts: int, width: int):
                 rows[c].append(values.get(c))
 
         add(part=-1 - block, block=block, doc_ids=doc_ids, keys=b"".join(keys),
-            sizes=np.array(sizes, "<u4").tobytes(), multi=multi.astype("<u8").tobytes())
+            sizes=planes(np.array(sizes, np.uint64), 4), multi=planes(multi, 8))
         for part, lo, hi in cuts(value, parts, BITS):
             many = n[lo:hi]
             add(part=part, block=block, hashes=deltas(value[lo:hi], range_start(part, parts, BITS), BITS),
-                idx=idx[lo:hi].tobytes(), counts=many[many > 1].astype("<u2").tobytes())
+                idx=planes(idx[lo:hi], 2), counts=planes(many[many > 1], 2))
         return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _BLOCK], schema=_BLOCK)
 
     def run(batches):
@@ -124,11 +127,11 @@ def _count(parts: int):
             return group.select(_REPLY.names).cast(_REPLY)
         low = range_start(part, parts, BITS)
         hashes = [undeltas(b, low, BITS) for b in group.column("hashes").to_pylist()]
-        idx = [np.frombuffer(b, "<u2") for b in group.column("idx").to_pylist()]
+        idx = [unplanes(b, 2) for b in group.column("idx").to_pylist()]
         n = []
         for i, c in zip(idx, group.column("counts").to_pylist()):
             own = np.ones(len(i), np.int64)
-            own[i == MULTI] = np.frombuffer(c, "<u2")
+            own[i == MULTI] = unplanes(c, 2)
             n.append(own)
         ends = np.cumsum(list(map(len, hashes)))
         value, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -138,7 +141,7 @@ def _count(parts: int):
         for block, h, i, lo, hi in zip(group.column("block").to_pylist(), hashes, idx, ends - list(map(len, hashes)), ends):
             shared = df[lo:hi] > 1
             if shared.any():
-                values = {"block": block, "part": part, "hashes": deltas(h[shared], low, BITS), "idx": i[shared].tobytes(),
+                values = {"block": block, "part": part, "hashes": deltas(h[shared], low, BITS), "idx": planes(i[shared], 2),
                           "counts": planes(df[lo:hi][shared], 5)}
                 for c in out:
                     out[c].append(values.get(c))
@@ -162,8 +165,8 @@ def _gather(parts: int, percent: int):
         own = [r for r in group.to_pylist() if r["keys"] is not None]
         doc_ids = [i for r in own[:1] for i in r["doc_ids"]]
         keys = np.frombuffer(b"".join(r["keys"] for r in own[:1]), "S1").reshape(-1, 16) if own else []
-        size = np.frombuffer(b"".join(r["sizes"] for r in own[:1]), "<u4").astype(np.int64)
-        multi = np.frombuffer(b"".join(r["multi"] for r in own[:1]), "<u8")
+        size = unplanes(own[0]["sizes"], 4).astype(np.int64) if own else np.zeros(0, np.int64)
+        multi = unplanes(own[0]["multi"], 8) if own else np.zeros(0, np.uint64)
         seen, h_all, d_all, f_all = set(), [], [], []
         multi_h = multi >> np.uint64(16)
         for r in group.select(["part", "hashes", "idx", "counts"]).to_pylist():
@@ -171,7 +174,7 @@ def _gather(parts: int, percent: int):
                 continue  # two equal blocks have equal replies
             seen.add(r["part"])
             h = undeltas(r["hashes"], range_start(r["part"], parts, BITS), BITS)
-            idx = np.frombuffer(r["idx"], "<u2")
+            idx = unplanes(r["idx"], 2)
             df = unplanes(r["counts"], 5).astype(np.int64)
             many = idx == MULTI
             lo, hi = np.searchsorted(multi_h, h[many], "left"), np.searchsorted(multi_h, h[many], "right")
@@ -220,15 +223,16 @@ class Classes:
                 .withColumn("alone", F.col("n") - F.size("shared"))
                 .withColumn("length", F.expr(f"n - div(n * {percent} + 99, 100) + 1 - alone").cast("int"))
                 .withColumn("prefix", F.slice("shared", F.lit(1), F.col("length"))))
-        tag = F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>")))
-        self.members = store(base.withColumn("gid", F.unhex(tag)).select("key", "gid", "n", "alone", "shared", "length"), "classes")
+        tag = F.xxhash64(F.col("n"), F.col("prefix"))
+        self.members = store(base.withColumn("gid", tag).select("key", "gid", "n", "alone", "shared", "length"), "classes")
         groups = self.members.groupBy("gid").agg(
             F.first("n").alias("n"), F.first("alone").alias("alone"), F.min("key").alias("head"), F.count(F.lit(1)).alias("n_members"),
             F.first(F.expr("slice(shared, 1, length)")).alias("prefix"))
-        self.groups = groups.select("gid", "n", "alone", "head", "n_members")
-        postings = groups.select("gid", "n", "alone", "head", F.posexplode("prefix").alias("at", "token"))
+        self.groups = groups.select("gid", "head", "n_members")
+        postings = groups.select("gid", "n", "alone", F.posexplode("prefix").alias("at", "token"))
         # what may still match behind the token, itself included
-        self.postings = store(postings.select("token", "gid", "n", "alone", "head", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "postings")
+        self.postings = store(postings.select("token", "gid", F.col("n").cast("int").alias("n"), F.col("alone").cast("int").alias("alone"),
+                                              (F.col("n") - F.col("alone") - F.col("at")).cast("int").alias("rest")), "postings")
 
     def fits(self, a: str, b: str) -> Column:
         """Size and position filters for two postings of one token."""
@@ -261,28 +265,27 @@ def class_components(classes: Classes, rounds: int = 3) -> DataFrame:
     """(key, comp) of the classes that may link: comp is the smallest key reachable by links."""
     members = classes.members.select("key", "gid")
     labels = members.select("key", F.col("key").alias("comp"))
+    open_ = classes.postings.withColumn("state", F.col("gid"))  # at first every group is a component of its own
+    mixed = classes.groups.where("n_members > 1").select("gid", "head")
     for r in range(rounds + 1):
-        # a group whose members are in several components differs from every other one
-        state = members.join(labels, "key").groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        state = store(state.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("gid")).alias("state"),
-                                   (F.col("low") != F.col("high")).alias("mixed")), "states")
-        posted = classes.postings.join(state, "gid")
         ranked = F.struct(F.col("alone"), F.col("gid")) if r == 0 else F.struct(F.xxhash64("token", F.lit(r), "gid"), F.col("gid"))
-        buckets = posted.groupBy("token").agg(F.min("state").alias("low"), F.max("state").alias("high"),
-                                              F.min_by(F.struct("gid", "n", "rest", "head", "state"), ranked).alias("lead")) \
+        buckets = open_.groupBy("token").agg(F.min("state").alias("low"), F.max("state").alias("high"),
+                                             F.min_by(F.struct("gid", "n", "rest", "state"), ranked).alias("lead")) \
             .where("low != high").select("token", "lead.*")
-        open_ = posted.alias("x").join(buckets.alias("y"), "token")
+        # components only grow: a shingle whose groups are all in one stays settled
+        open_ = store(open_.join(buckets.select("token"), "token", "left_semi"), "open")
         if r < rounds:
-            pairs = open_.where(classes.fits("x", "y") & (F.col("x.state") != F.col("y.state"))) \
-                .select(F.col("y.head").alias("a"), F.col("x.gid").alias("gid")).distinct()
-            own = state.where("mixed").join(classes.groups, "gid").select(F.col("head").alias("a"), "gid")
-            pairs = pairs.unionByName(own).join(members.select(F.col("key").alias("b"), "gid"), "gid").select("a", "b")
+            pairs = open_.alias("x").join(buckets.alias("y"), "token") \
+                .where(classes.fits("x", "y") & (F.col("x.state") != F.col("y.state"))) \
+                .select(F.col("y.gid").alias("lead"), F.col("x.gid").alias("gid")).distinct() \
+                .join(classes.groups.select(F.col("gid").alias("lead"), F.col("head").alias("a")), "lead").select("a", "gid")
+            pairs = pairs.unionByName(mixed.select(F.col("head").alias("a"), "gid")) \
+                .join(members.select(F.col("key").alias("b"), "gid"), "gid").select("a", "b")
         else:
-            side = store(open_.select("token", F.col("x.gid").alias("gid"), F.col("x.n").alias("n"), F.col("x.rest").alias("rest"), F.col("x.state").alias("state")), "open")
-            pairs = side.alias("x").join(side.alias("y"), "token") \
+            pairs = open_.alias("x").join(open_.alias("y"), "token") \
                 .where((F.col("x.gid") < F.col("y.gid")) & (F.col("x.state") != F.col("y.state")) & classes.fits("x", "y")) \
                 .select(F.col("x.gid").alias("g"), F.col("y.gid").alias("gid")).distinct() \
-                .unionByName(state.where("mixed").select(F.col("gid").alias("g"), "gid"))
+                .unionByName(mixed.select(F.col("gid").alias("g"), "gid"))
             pairs = pairs.join(members.select(F.col("key").alias("a"), F.col("gid").alias("g")), "g") \
                 .join(members.select(F.col("key").alias("b"), "gid"), "gid").select("a", "b")
         named = labels.select(F.col("key").alias("a"), F.col("comp").alias("comp_a"))
@@ -290,6 +293,14 @@ def class_components(classes: Classes, rounds: int = 3) -> DataFrame:
         pairs = pairs.where("a != b").join(named, "a").join(other, "b").where("comp_a != comp_b") \
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = _merge(labels, store(classes.links(pairs), "links"))
+        if r == rounds:
+            return labels
+        # a group whose members are in several components differs from every other one
+        state = members.join(labels, "key").groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("key").alias("head"))
+        state = store(state.select("gid", "head", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.col("gid")).alias("state"),
+                                   (F.col("low") != F.col("high")).alias("mixed")), "states")
+        mixed = state.where("mixed").select("gid", "head")
+        open_ = open_.drop("state").join(state.select("gid", "state"), "gid")
     return labels
 
 
