@@ -44,8 +44,8 @@ from quarry.llm.components import components
 
 #: Hashes are cut to this many bits where they travel; sizes and classes use all 64.
 BITS = 48
-FLUSH = 2_000_000
-PER_RANGE = 4_000_000
+FLUSH = 1_500_000
+PER_RANGE = 2_500_000
 MULTI = 0xFFFF
 
 
