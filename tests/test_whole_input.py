@@ -6,6 +6,7 @@ from quarry.operators import decompose as D
 from quarry.operators import fusion as E
 from quarry.operators import generate as I
 from quarry.operators import questions as C
+from quarry.operators import spelling as S
 from quarry.operators import vectors as B
 from quarry.sources import kb as K
 from quarry.sources.csv_clean import read_dirty_csv, write_clean_csv
@@ -99,3 +100,13 @@ def test_numbers_within_type(spark):
     ents = spark.createDataFrame([("A", i, "x") for i in range(200)] + [("B", 1, "y")], "type string, entity_key long, name string")
     got = I.number_within_type(ents, bucket_rows=30, n_rows=201).collect()
     assert sorted((r.type, r.no) for r in got) == [("A", i) for i in range(200)] + [("B", 0)]
+
+
+def test_compound_correction_carries_casing(spark):
+    words = spark.createDataFrame([("explain", 5), ("data", 5), ("quality", 5), ("dashboard", 5)], "word string, freq long")
+    terms = spark.createDataFrame([], "term string, freq long")
+    q = spark.createDataFrame([(1, "Explain Data quality"), (2, "Explain Data QUALTY"), (3, "Dash board data"), (4, "Qualty")], "question_id int, question string")
+    got = {r.question_id: r.compound for r in S.correct_compound(q, words).collect()}
+    assert got == {1: "Explain Data quality", 2: "Explain Data QUALITY", 3: "Dashboard data", 4: "Quality"}
+    spelled = {r.question_id: r for r in S.spell_correct(q.where("question_id = 1"), words, terms).collect()}
+    assert not spelled[1].needs_correction and spelled[1].confidence == 1.0
