@@ -33,17 +33,19 @@ from quarry.llm.common import map_batches, store
 
 FOUND = "query_id long, vec_id long, score long"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-PAGE, FANOUT = 256, 16
+PAGE, FANOUT = 1_024, 16  # a page is scored by one matrix product, so pages are large
 SLACK = 1e-7
 
 
 class Page:
-    """A node: entries with their distances to the parent object; inner pages have radii and children."""
+    """A node with its entries' distances to the parent object. A leaf holds the vectors ``lo`` to ``hi``
+    of the tree's order; an inner page holds routing objects with covering radii and children."""
 
-    __slots__ = ("rows", "to_parent", "radius", "children")
+    __slots__ = ("lo", "hi", "to_parent", "objects", "radius", "children")
 
-    def __init__(self, rows, to_parent, radius=None, children=None):
-        self.rows, self.to_parent, self.radius, self.children = rows, to_parent, radius, children
+    def __init__(self, lo, hi, to_parent, objects=None, radius=None, children=None):
+        self.lo, self.hi, self.to_parent = lo, hi, to_parent
+        self.objects, self.radius, self.children = objects, radius, children
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -53,33 +55,41 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class MTree:
+    """Bulk-loaded over the rows of ``x``; ``order`` lays the rows of a leaf next to each other."""
+
     def __init__(self, x: np.ndarray, seed: int = 3):
-        self.x = x
         self.rng = np.random.default_rng(seed)
-        self.objects: list[np.ndarray] = []
-        self.root = self._build(np.arange(len(x)), None)
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+        self.root = self._build(x, np.arange(len(x)), None)
+        self.order = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
 
-    def _build(self, rows: np.ndarray, parent: np.ndarray | None) -> Page:
+    def _build(self, x: np.ndarray, rows: np.ndarray, parent: np.ndarray | None) -> Page:
+        own_x = x[rows]
         if len(rows) <= PAGE:
-            return Page(rows, apart(self.x[rows], parent) if parent is not None else np.zeros(len(rows)))
-        x = self.x[rows]
-        seeds = x[self.rng.choice(len(rows), min(FANOUT, len(rows)), replace=False)]
-        own = V.nearest(x, seeds)
+            lo = self.size
+            self.parts.append(rows)
+            self.size += len(rows)
+            return Page(lo, self.size, apart(own_x, parent) if parent is not None else np.zeros(len(rows)))
+        fanout = min(FANOUT, 2 * -(-len(rows) // PAGE))
+        seeds = own_x[self.rng.choice(len(rows), fanout, replace=False)]
+        own = V.nearest(own_x, seeds)
         if np.bincount(own).max() > 0.9 * len(rows):  # equal or nearly equal vectors: any cut is as good
-            own = np.arange(len(rows)) * FANOUT // len(rows)
-        centres, children, radius = [], [], []
+            own = np.arange(len(rows)) * fanout // len(rows)
+        lo, objects, children, radius = self.size, [], [], []
         for g in np.unique(own):
             part = rows[own == g]
-            centre = self.x[part].mean(0)
-            centres.append(centre)
-            radius.append(apart(self.x[part], centre).max())
-            children.append(self._build(part, centre))
-        centres = np.array(centres)
-        return Page(centres, apart(centres, parent) if parent is not None else np.zeros(len(centres)), np.array(radius), children)
+            centre = own_x[own == g].mean(0)
+            objects.append(centre)
+            radius.append(apart(x[part], centre).max())
+            children.append(self._build(x, part, centre))
+        objects = np.array(objects)
+        to_parent = apart(objects, parent) if parent is not None else np.zeros(len(objects))
+        return Page(lo, self.size, to_parent, objects, np.array(radius), children)
 
     def search(self, q: np.ndarray, limit: float, take) -> None:
-        """Visit pages best first. ``take(rows)`` scores leaf rows and returns the new limit distance;
-        ``limit`` is the first one."""
+        """Visit pages best first. ``take(rows)`` scores vectors (a slice or places in ``order``) and
+        returns the new limit distance; ``limit`` is the first one."""
         heap = [(0.0, 0, self.root, None)]
         order = 0
         while heap:
@@ -88,51 +98,58 @@ class MTree:
                 return
             near = np.abs(page.to_parent - d_parent) if d_parent is not None else None
             if page.children is None:
-                rows = page.rows if near is None else page.rows[near <= limit]
-                if len(rows):
-                    limit = take(rows)
+                if near is None or (keep := near <= limit).all():
+                    limit = take(slice(page.lo, page.hi))
+                elif keep.any():
+                    limit = take(page.lo + np.flatnonzero(keep))
                 continue
-            maybe = range(len(page.rows)) if near is None else np.flatnonzero(near - page.radius <= limit)
-            at = np.asarray(maybe, np.int64)
-            d = apart(page.rows[at], q)
+            at = np.arange(len(page.children)) if near is None else np.flatnonzero(near - page.radius <= limit)
+            d = apart(page.objects[at], q)
             for i, dist, bound in zip(at.tolist(), d.tolist(), np.maximum(d - page.radius[at], low).tolist()):
                 if bound <= limit:
                     order += 1
                     heapq.heappush(heap, (bound, order, page.children[i], dist))
 
 
-def dots(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+def exact_in_doubles(v: np.ndarray, asked: np.ndarray) -> bool:
+    """Whether all inner products of integer rows are exact in double precision."""
+    return float(np.abs(v).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(1, v.shape[1]) < 2 ** 53
+
+
+def dots(v: np.ndarray, q: np.ndarray, doubles: bool) -> np.ndarray:
     """Exact inner products of integer rows held as doubles."""
-    if (np.abs(v).max(initial=0) * np.abs(q).max(initial=0)) * len(q) < 2 ** 53:
-        return (v @ q).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in v], object)
+    return v @ q if doubles else np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in v], object)
 
 
 class Best:
-    """The k best (score, id) of one query so far, as a limit distance."""
+    """The k best (score, id) of one query so far, as a limit distance. ``ids`` and ``v`` are in the
+    tree's order."""
 
-    def __init__(self, k: int, own: int, q: np.ndarray, ids: np.ndarray, v: np.ndarray, most: float, floor: int | None):
-        self.k, self.own, self.q, self.ids, self.v, self.most, self.floor = k, own, q, ids, v, most, floor
-        self.rows, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, k: int, own: int, q: np.ndarray, ids: np.ndarray, v: np.ndarray, most: float, floor: int | None, doubles: bool):
+        self.k, self.own, self.q, self.ids, self.v, self.most, self.doubles = k, own, q, ids, v, most, doubles
+        self.floor = floor  # scores below it are of no use
+        self.found, self.scores = np.zeros(0, np.int64), np.zeros(0, np.float64 if doubles else object)
         self.norm = float(q @ q)
+        self.slack = np.sqrt((self.norm + most) * 1e-13) + SLACK
+        self.limit = self._distance(floor) if floor is not None else float("inf")
 
-    def distance(self, score) -> float:
+    def _distance(self, score) -> float:
         squared = max(0.0, self.norm + self.most - 2.0 * float(score))
-        return float(np.sqrt(squared)) * (1 + SLACK) + np.sqrt((self.norm + self.most) * 1e-13) + SLACK
-
-    def limit(self) -> float:
-        known = [s for s in (self.floor, self.scores.min() if len(self.scores) == self.k else None) if s is not None]
-        return self.distance(max(known)) if known else float("inf")
-
-    def take(self, rows: np.ndarray) -> float:
-        rows = rows[self.ids[rows] != self.own]
-        scores = dots(self.v[rows], self.q)
-        if self.floor is not None:
-            rows, scores = rows[scores >= self.floor], scores[scores >= self.floor]
-        rows, scores = np.concatenate([self.rows, rows]), np.concatenate([self.scores, scores])
-        top = V.best(scores, self.ids[rows], self.k)
-        self.rows, self.scores = rows[top], scores[top]
-        return self.limit()
+        return float(np.sqrt(squared)) * (1 + SLACK) + self.slack
+
+    def take(self, rows) -> float:
+        scores = dots(self.v[rows], self.q, self.doubles)
+        better = np.flatnonzero(scores >= self.floor) if self.floor is not None else np.arange(len(scores))
+        if len(better):
+            ids = self.ids[rows][better]
+            other = ids != self.own
+            found, scores = np.concatenate([self.found, ids[other]]), np.concatenate([self.scores, scores[better][other]])
+            top = V.best(scores, found, self.k)
+            self.found, self.scores = found[top], scores[top]
+            if len(top) == self.k and (self.floor is None or self.scores[-1] > self.floor):
+                self.floor = self.scores[-1]
+                self.limit = self._distance(self.floor)
+        return self.limit
 
 
 def _search(k: int, most: float):
@@ -141,14 +158,16 @@ def _search(k: int, most: float):
             return _FOUND.empty_table()
         ids, v = left.column("vec_id").to_numpy(), V.packed(left.column("v"), np.float64)
         tree = MTree(V.lifted(v, most))
+        ids, v = ids[tree.order], v[tree.order]
         out = {"query_id": [], "vec_id": [], "score": []}
         ask = V.packed(right.column("v"), np.float64)
+        doubles = exact_in_doubles(v, ask)
         for own, q, floor in zip(right.column("query_id").to_pylist(), ask, right.column("floor").to_pylist()):
-            found = Best(k, own, q, ids, v, most, floor)
-            tree.search(np.append(q, 0.0), found.limit(), found.take)
-            out["query_id"] += [own] * len(found.rows)
-            out["vec_id"] += ids[found.rows].tolist()
-            out["score"] += [int(s) for s in found.scores]
+            best = Best(k, own, q, ids, v, most, floor, doubles)
+            tree.search(np.append(q, 0.0), best.limit, best.take)
+            out["query_id"] += [own] * len(best.found)
+            out["vec_id"] += best.found.tolist()
+            out["score"] += [int(s) for s in best.scores]
         return pa.table([pa.array(c, pa.int64()) for c in out.values()], schema=_FOUND)
     return run
 
