@@ -11,6 +11,7 @@ from quarry.operators import questions as C
 from quarry.operators import rerank as Fr
 from quarry.operators import select as G
 from quarry.plans import adaptive as P
+from quarry.plans import selection_sql as SEL
 from quarry.plans.registry import register, rounded
 from quarry.sources.kb import benchmark_questions, documents_kb, verbatim_gold
 from quarry.sources import entities as A
@@ -337,7 +338,7 @@ def q_rerank(spark, sf):
     return rounded(res.reranked.select("question_id", "final_rank", "doc_key", "logit", "prob", "is_anchor"))
 
 
-@register("mmr")
+@register("mmr", SEL.sql_mmr(_sql_rerank()))
 def q_mmr(spark, sf):
     """F8: MMR order of the top 12 (then the rest)."""
     return rounded(bench_run(spark, sf).reranked.select("question_id", "final_rank", "doc_key", "prob"))
@@ -361,19 +362,19 @@ def q_prob_stats(spark, sf):
 # ---------------------------------------------------------------- G
 
 
-@register("adaptive_select")
+@register("adaptive_select", SEL.sql_select(_sql_rerank()))
 def q_adaptive_select(spark, sf):
     """Selected documents per question."""
     return rounded(bench_run(spark, sf).selected.select("question_id", "sel_rank", "doc_key", "prob", "tokens"))
 
 
-@register("coverage_report")
+@register("coverage_report", SEL.sql_coverage(_sql_rerank()))
 def q_coverage_report(spark, sf):
     """Entity coverage of the selection."""
     return G.coverage_report(bench_run(spark, sf).selected, benchmark_questions(spark, sf))
 
 
-@register("selection_summary")
+@register("selection_summary", SEL.sql_summary(_sql_rerank()))
 def q_selection_summary(spark, sf):
     """Selection summary per question."""
     res = bench_run(spark, sf)
@@ -392,13 +393,21 @@ def evaluate_run(spark, sf, stage="final"):
     return J.evaluate(qs, gold, P.stage_output(res, stage))
 
 
-@register("retrieve_adaptive")
+def _sql_evaluation(part: str) -> str:
+    """The per-question metrics of the selection, then the final SELECT of a text evaluation oracle."""
+    from quarry.plans.registry import ORACLES
+    from quarry.plans.text_queries import SQL_TEXT_EVAL
+    tail = ORACLES[part][len(SQL_TEXT_EVAL.strip()):]
+    return SEL.sql_evaluation(_sql_rerank(), SQL_TEXT_EVAL) + tail.replace("FROM pq", "FROM measured")
+
+
+@register("retrieve_adaptive", _sql_evaluation("evaluate_text"))
 def q_retrieve_adaptive(spark, sf):
     """G11 evaluated per question (J14 on the final stage)."""
     return rounded(evaluate_run(spark, sf))
 
 
-@register("run_evaluation")
+@register("run_evaluation", _sql_evaluation("aggregate_metrics"))
 def q_run_evaluation(spark, sf):
     """Adaptive retrieval over all benchmark items, aggregated."""
     return rounded(J.aggregate_metrics(evaluate_run(spark, sf)))
