@@ -19,9 +19,3 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; 0 when either is all zeros."""
     den = norm(a) * norm(b)
     return F.when(den > 0, dot(a, b) / den).otherwise(F.lit(0.0))
-
-
-def l2_normalise(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda v: v.cast("double") / n)).otherwise(
-        F.transform(a, lambda v: v.cast("double")))

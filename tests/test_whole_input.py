@@ -110,3 +110,15 @@ def test_compound_correction_carries_casing(spark):
     assert got == {1: "Explain Data quality", 2: "Explain Data QUALITY", 3: "Dashboard data", 4: "Quality"}
     spelled = {r.question_id: r for r in S.spell_correct(q.where("question_id = 1"), words, terms).collect()}
     assert not spelled[1].needs_correction and spelled[1].confidence == 1.0
+
+
+def test_dictionary_without_a_corpus(spark):
+    got = {r.word: r.freq for r in S.build_dictionary(None, "text").collect()}
+    assert got == dict.fromkeys(S.BASIC_WORDS, 1)
+
+
+def test_median_with_ties(spark):
+    from quarry.operators.evaluate import exact_median
+    rows = [("a", 0.5)] * 1000 + [("a", 0.1), ("a", 0.9)] + [("b", float(i)) for i in range(10)] + [("c", 3.0)]
+    got = {r.g: r.median for r in exact_median(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got == {"a": 0.5, "b": 4.5, "c": 3.0}
