@@ -19,8 +19,7 @@ Hot shingles. Only components are asked for, so pairs inside a component need no
 In a few rounds each group is paired with one leader per shingle (first the group with the
 fewest unshared shingles, the likeliest original of many near copies), and linked classes
 are merged. Only then the pairs left, those of different components, are listed. So thousands of
-near copies cost a few pairs each, and no link between different components is missed. Rounds end
-early when the pairs left are few.
+near copies cost a few pairs each, and no link between different components is missed.
 
 Shingles travel with 48 bits, groups and components are compared by 64-bit hashes, classes by 128
 bits; sizes count 64-bit hashes.
@@ -48,8 +47,6 @@ BITS = 48
 FLUSH = 1_500_000
 PER_RANGE = 2_500_000
 MULTI = 0xFFFF
-#: The pairs of different components are listed once they are at most so many per posting.
-PAIRS_PER_POSTING = 4
 
 
 def shingles(text: str, width: int = 5) -> np.ndarray:
@@ -277,12 +274,7 @@ def class_components(classes: Classes, rounds: int = 3) -> DataFrame:
             .where("low != high").select("token", "lead.*")
         # components only grow: a shingle whose groups are all in one stays settled
         open_ = store(open_.join(buckets.select("token"), "token", "left_semi"), "open")
-        # a round with leaders pays where the pairs left are many more than the postings
-        left = open_.groupBy("token", "state").count().groupBy("token").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        rows, todo = left.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).head()
-        last = r == rounds or (todo or 0) <= PAIRS_PER_POSTING * (rows or 0)
-        if not last:
+        if r < rounds:
             pairs = open_.alias("x").join(buckets.alias("y"), "token") \
                 .where(classes.fits("x", "y") & (F.col("x.state") != F.col("y.state"))) \
                 .select(F.col("y.gid").alias("lead"), F.col("x.gid").alias("gid")).distinct() \
@@ -301,7 +293,7 @@ def class_components(classes: Classes, rounds: int = 3) -> DataFrame:
         pairs = pairs.where("a != b").join(named, "a").join(other, "b").where("comp_a != comp_b") \
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = _merge(labels, store(classes.links(pairs), "links"))
-        if last:
+        if r == rounds:
             return labels
         # a group whose members are in several components differs from every other one
         state = members.join(labels, "key").groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("key").alias("head"))

@@ -61,7 +61,6 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,rounds", [(1, 3), (2, 0), (3, 1)])
 def test_components_equal_brute_force(spark, seed, rounds, monkeypatch):
     monkeypatch.setattr(ngram_join, "FLUSH", 700)
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", 0 if seed == 1 else 4)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "k", 1, None) for i, t in rows], "doc_id long, text string, key string, n int, shared string")
     got = ngram_join.join(docs.repartition(3), rounds=rounds).collect()
