@@ -288,32 +288,120 @@ def topk_threshold(search, k: int, threshold: float, q_key: str = "question_id",
 # --------------------------------------------------------------------------- B5
 
 
+def _nearest_cells(m: np.ndarray, centers: np.ndarray, step: int = 1024):
+    """(from, squared distances to the centers less the rows' own norms) by slices of rows."""
+    own = (centers * centers).sum(axis=1)
+    for lo in range(0, len(m), step):
+        yield lo, own - 2 * (m[lo:lo + step] @ centers.T)
+
+
+def _probes_for(qm: np.ndarray, qexcl, km: np.ndarray, kb_keys: np.ndarray, centers: np.ndarray, k: int,
+                recall: float) -> int:
+    """Smallest number of probed cells whose recall@k against brute force on the sample, less two standard
+    errors, is at least ``recall``."""
+    if not len(qm) or not len(km):
+        return len(centers)
+    cell = np.concatenate([d.argmin(axis=1) for _, d in _nearest_cells(km, centers)])
+    sc = qm @ km.T
+    if qexcl is not None:
+        sc[qexcl[:, None] == kb_keys[None, :]] = -np.inf
+    near = np.argsort(-sc, axis=1, kind="stable")[:, :k]
+    there = np.isfinite(np.take_along_axis(sc, near, axis=1))
+    place = np.concatenate([d.argsort(axis=1, kind="stable").argsort(axis=1) for _, d in _nearest_cells(qm, centers)])
+    needed = np.take_along_axis(place, cell[near], axis=1)
+    asked = there.any(axis=1)
+    for probes in range(1, len(centers)):
+        found = ((needed < probes) & there)[asked].sum(axis=1) / there[asked].sum(axis=1)
+        if len(found) and found.mean() - 2 * found.std() / math.sqrt(len(found)) >= recall:
+            return probes
+    return len(centers)
+
+
 def approx_topk(questions: DataFrame, kb: DataFrame, k: int, *, q_key: str = "question_id",
                 q_vec: str = "embedding", kb_key: str = "doc_key", kb_vec: str = "embedding",
-                n_cells: int = 16, n_probes: int = 4, exclude_col: str | None = None,
-                seed: int = 7) -> DataFrame:
-    """Approximate nearest neighbours. KB vectors are clustered into ``n_cells``
-    KMeans cells (MLlib fit: an action); a question probes its ``n_probes`` closest
-    centroids and is scored exactly against those cells only, by an equi-join on the
-    cell id. -> (q_key, rank, kb_key, score)."""
+                n_cells: int | None = None, n_probes: int | None = None, exclude_col: str | None = None,
+                recall: float = 0.9, cell_rows: int = 4_096, ask_rows: int = 16_384, sample_rows: int = 20_000,
+                sample_questions: int = 500, seed: int = 7) -> DataFrame:
+    """Approximate nearest neighbours. Every KB vector is in one of ``n_cells`` KMeans cells (one for
+    ``cell_rows`` rows, 16 to 4096, when not given; MLlib fit on a sample of about ``sample_rows`` rows); a
+    question probes its closest cells and is scored exactly against those only. How many: ``n_probes``, or
+    as many as reach ``recall`` against brute force on the sample, and more until they hold k rows. Cells
+    are split by hash of the key into blocks of about ``cell_rows`` rows, questions into chunks of ``ask_rows``.
+    Actions: counts, the samples, the fit, the cell sizes. -> (q_key, rank, kb_key, score)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    kbv = kb.select(kb_key, kb_vec, array_to_vector(F.col(kb_vec)).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=20, featuresCol="features", predictionCol="cell").fit(kbv)
-    kb_cells = model.transform(kbv).select(kb_key, F.col(kb_vec).alias("kv"), "cell")
-    centers = [c.tolist() for c in model.clusterCenters()]
-    cen = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])  # n_cells x dim, fixed size
-    from quarry.functions.vectors import cosine
-    qs = questions.select(q_key, F.col(q_vec).alias("qv"), *([exclude_col] if exclude_col else []))
-    probe = qs.select("*", F.posexplode(F.transform(cen, lambda c: cosine(F.col("qv"), c))).alias("cell", "csim"))
-    pw = Window.partitionBy(q_key).orderBy(F.col("csim").desc(), F.col("cell"))
-    probe = probe.withColumn("pr", F.row_number().over(pw)).where(F.col("pr") <= n_probes).drop("pr", "csim")
-    pairs = probe.join(kb_cells, "cell")
-    if exclude_col:
-        pairs = pairs.where(F.col(kb_key) != F.col(exclude_col))
-    scored = pairs.select(q_key, kb_key, cosine(F.col("qv"), F.col("kv")).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(_rank_window(q_key, kb_key)))
+    spark = kb.sparkSession
+    kbs = kb.select(kb_key, kb_vec)
+    qs = questions.select(q_key, q_vec, *([exclude_col] if exclude_col else []))
+    key_type, q_type = kbs.schema[kb_key].dataType.simpleString(), qs.schema[q_key].dataType.simpleString()
+    n_kb, n_q = kbs.count(), qs.count()
+
+    def sampled(df, key, n, most):
+        return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(max(1, math.ceil(n / most)))) == 0).limit(2 * most)
+
+    found = sampled(kbs, kb_key, n_kb, sample_rows).toPandas()
+    km = _unit_rows(found[kb_vec].tolist())
+    cells = min(n_cells or min(4096, max(16, math.ceil(n_kb / cell_rows))), max(1, len(km)))
+    if cells > 1:
+        fit = spark.createDataFrame([(m.tolist(),) for m in km], "v array<double>").select(
+            array_to_vector("v").alias("features"))
+        centers = np.array(KMeans(k=cells, seed=seed, maxIter=20).fit(fit).clusterCenters())
+    else:
+        centers = km[:1]
+    if n_probes is None:
+        ask = sampled(qs, q_key, n_q, sample_questions).toPandas()
+        n_probes = _probes_for(_unit_rows(ask[q_vec].tolist()), ask[exclude_col].to_numpy() if exclude_col else None, km,
+                               found[kb_key].to_numpy(), centers, k, recall)
+    bc = spark.sparkContext.broadcast(centers)  # at most 4096
+
+    def assign(batches):
+        for b in batches:
+            m = _unit_rows(b[kb_vec].tolist())
+            if len(m):
+                yield b.assign(cell=np.concatenate([d.argmin(axis=1) for _, d in _nearest_cells(m, bc.value)]))
+
+    vec_type = kbs.schema[kb_vec].dataType.simpleString()
+    kb_cells = kbs.mapInPandas(assign, f"{kb_key} {key_type}, {kb_vec} {vec_type}, cell int")
+    sizes = dict(kb_cells.groupBy("cell").count().collect())  # at most 4096 rows
+    size = np.array([sizes.get(i, 0) for i in range(len(centers))])
+
+    def route(batches):
+        for b in batches:
+            m = _unit_rows(b[q_vec].tolist())
+            probed = []
+            for _, d in _nearest_cells(m, bc.value):
+                order = d.argsort(axis=1, kind="stable")
+                enough = (np.cumsum(size[order], axis=1) <= k).sum(axis=1) + 1  # k rows beside the question's own
+                probed += [o[:max(n_probes, e)].tolist() for o, e in zip(order, enough)]
+            if probed:
+                yield b.assign(cells=probed)
+
+    q_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in qs.schema.fields)
+    chunks = max(1, math.ceil(n_q / ask_rows))
+    cut = F.coalesce(*(F.when(F.col("cell") == i, F.lit(math.ceil(n / cell_rows)))
+                       for i, n in enumerate(size.tolist()) if n > cell_rows), F.lit(1))
+    blocks = kb_cells.withColumn("block", F.pmod(F.xxhash64(kb_key), cut).cast("int")).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    probes = (qs.mapInPandas(route, f"{q_schema}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+              .withColumn("block", F.explode(F.sequence(F.lit(0), cut - 1)))
+              .withColumn("chunk", F.pmod(F.xxhash64(q_key), F.lit(chunks)).cast("int")))
+
+    def score_cell(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({q_key: [], kb_key: [], "score": []})]
+        for lo in range(0, len(qpdf) if len(kpdf) else 0, 1024):
+            part = qpdf.iloc[lo:lo + 1024]
+            qkeys = part[q_key].to_numpy()
+            r = _score_block(_unit_rows(part[q_vec].tolist()), qkeys, part[exclude_col].to_numpy() if exclude_col else None,
+                             kpdf[kb_key].to_numpy(), kpdf[kb_vec].to_numpy(), k, kb_key)
+            out.append(pd.DataFrame({q_key: qkeys[r["qi"].to_numpy()], kb_key: r[kb_key].to_numpy(),
+                                     "score": r["score"].to_numpy()}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    keys = ("cell", "block", "chunk")
+    cand = probes.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(
+        score_cell, f"{q_key} {q_type}, {kb_key} {key_type}, score double")
+    ranked = cand.withColumn("rank", F.row_number().over(_rank_window(q_key, kb_key)))
     return ranked.where(F.col("rank") <= k).select(q_key, "rank", kb_key, "score")
 
 
