@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bpe, langid, lm, mtree, ngram_join, packing, pii, token_counts, toxicity
+from quarry.llm import ann, bpe, langid, lm, mtree, ngram_join, packing, pii, repair, superminhash, token_counts, toxicity, variants
 from quarry.llm.common import tables
 
 WORD_BPE = "word_bpe_49k.json"
@@ -56,6 +56,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(tables(spark, sf_dir, "documents"))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(tables(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_report(tables(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_lm_scores": op9_lm_scores,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_superminhash": op11_superminhash,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
