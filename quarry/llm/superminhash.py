@@ -9,14 +9,17 @@ element's ranks in the slots are all different, which makes the estimate less no
 hash functions. Offers of later steps are larger, so a set is done as soon as its largest slot is
 below the next step: one to three steps for usual texts. All sets of a slice take a step at once.
 
-Banding. Signatures are cut into ``BANDS`` bands of ``ROWS`` slots; equal bands make classes candidates. Two
-sets of similarity 0.8 share none of the bands with probability (1 - 0.8^4)^28 = 4e-7.
+Banding. The first ``BANDS`` x ``ROWS`` slots are cut into bands; equal bands make classes candidates. Two sets of
+similarity 0.8 share none of the bands with probability (1 - 0.8^4)^28 = 4e-7. Candidates travel with four
+bits of each of ``SLOTS`` slots; a pair that agrees in fewer of them than five standard deviations below what
+similarity 0.8 gives (3e-7) goes unverified, so passages in common cost little.
 
 Verification. Candidates are compared on their full sets, which are made again for them alone. Only
-components are asked for: in a few rounds each bucket's classes are compared with one leader, and linked
-ones merged by a distributed union-find; only pairs of different components are listed at the end. A bucket
-that then still has more than ``HOT`` classes is cut by second bands first: a linked pair agrees in two
-bands (all but 8e-6 of pairs at 0.8 exactly, fewer above), dissimilar ones with a passage in common rarely do.
+components are asked for: in ``TURNS`` rounds, over a share of the bands each, a class is compared with the
+likeliest of its buckets' leaders, and linked ones are merged by a distributed union-find. Then the pairs of
+different components are listed, each in its first common bucket only. A bucket that then still has more than
+``HOT`` classes is cut by second bands first: a linked pair agrees in two bands (all but 8e-6 of pairs
+at 0.8 exactly, fewer above).
 
 Defined cases: null, empty or blank text has an empty set and is linked with nothing; a null ``doc_id``
 gets the component of its copies, or null, and is kept only in the second case; repeated rows have one
@@ -25,6 +28,7 @@ result each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +45,14 @@ from quarry.llm.ngram_join import shingles
 WIDTH = 4
 PERCENT = 80
 BANDS, ROWS = 28, 4
+SLOTS = 224
+TURNS = 4
 #: Elements that take their steps at once.
 SLICE = 100_000
-#: Buckets of more classes of different components are cut by second bands.
-HOT = 50
+#: Buckets of more classes, of different components still, are cut by second bands.
+HOT = 1_000
 #: Classes of more copies get their component by a broadcast (at most rows / COPIES of them).
 COPIES = 100_000
-ROUNDS = 3
 STEP = np.uint64(32)
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -93,20 +98,45 @@ def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return out
 
 
-def bands(signature: np.ndarray, rows: int) -> np.ndarray:
-    """Hashes of the bands of ``rows`` slots, different for each band number."""
-    parts = signature.reshape(len(signature), -1, rows)
-    out = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for r in range(rows):
+def bands(signature: np.ndarray) -> np.ndarray:
+    """Hashes of the bands, different for each band number."""
+    parts = signature[:, :BANDS * ROWS].reshape(len(signature), BANDS, ROWS)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for r in range(ROWS):
         out = mix(out + parts[:, :, r])
     return out
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of every slot, 16 slots in a number."""
+    bits = (mix(signature) & np.uint64(15)).reshape(len(signature), -1, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def agreement(a: str, b: str) -> Column:
+    """Slots whose bits agree in the sketches ``a`` and ``b``."""
+    nibbles = f"zip_with({a}, {b}, (x, y) -> x ^ y)"
+    pairs = f"transform({nibbles}, x -> (x | shiftrightunsigned(x, 2)) & 3689348814741910323L)"  # 0x3333...
+    differ = "bit_count((p | shiftrightunsigned(p, 1)) & 1229782938247303441L)"  # 0x1111...
+    return F.expr(f"aggregate({pairs}, {SLOTS}, (n, p) -> n - {differ})")
+
+
+def likely(percent: int) -> int:
+    """Fewest agreeing slots that a pair at the threshold shows, but for five standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return math.floor(p * SLOTS - 5 * math.sqrt(p * (1 - p) * SLOTS))
+
+
 def _key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-SIGNED = "doc_id long, key binary, n long, bands array<long>"
+SIGNED = "doc_id long, key binary, n long, bands array<long>, sketch array<long>"
+
+
+def _lists(table: np.ndarray) -> pa.ListArray:
+    ends = np.arange(0, table.size + 1, table.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(table.view(np.int64).ravel()))
 
 
 def _signed(width: int):
@@ -115,11 +145,11 @@ def _signed(width: int):
             ids = batch.column("doc_id")
             for lo in range(0, batch.num_rows, 500):
                 sets = [shingles(t, width) for t in batch.column("text").slice(lo, 500).to_pylist()]
-                found = bands(signatures(sets, BANDS * ROWS), ROWS).view(np.int64)
+                signed = signatures(sets, SLOTS)
                 yield pa.record_batch({
                     "doc_id": ids.slice(lo, 500), "key": pa.array(map(_key, sets), pa.binary()),
                     "n": pa.array(map(len, sets), pa.int64()),
-                    "bands": pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, dtype=np.int32), pa.array(found.ravel()))})
+                    "bands": _lists(bands(signed)), "sketch": _lists(sketch(signed))})
     return run
 
 
@@ -137,15 +167,11 @@ def _sets(width: int):
     return run
 
 
-def fits(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 class Linker:
     """Verifies candidates and keeps the labels (key, comp) of the classes that have any."""
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: DataFrame, sketches: DataFrame, percent: int):
+        self.sets, self.sketches, self.percent = sets, sketches, percent
         self.labels = sets.select("key", F.col("key").alias("comp"))
 
     def link(self, pairs: DataFrame) -> None:
@@ -163,52 +189,65 @@ class Linker:
         self.labels = store(self.labels.join(roots, "comp", "left").select("key", F.coalesce("root", "comp").alias("comp")), "labels")
 
     def unsettled(self, postings: DataFrame) -> DataFrame:
-        """The postings (bucket, key, n), now with comp, of buckets that hold several components."""
-        named = postings.join(self.labels, "key")
+        """The postings (bucket, band, key, n), now with comp and the bucket's size, of buckets that hold
+        several components."""
+        named = postings.select("bucket", "band", "key", "n").join(self.labels, "key")
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")) \
             .where("low != high").select("bucket", "size")
-        return store(named.join(mixed, "bucket").select("bucket", "key", "n", "comp", "size"), "unsettled")
+        return store(named.join(mixed, "bucket").select("bucket", "band", "key", "n", "comp", "size"), "unsettled")
+
+    def may_link(self, x: str, y: str) -> Column:
+        """For two postings of a bucket: different components, sizes that fit, sketches that agree enough."""
+        n_x, n_y = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (100 * F.least(n_x, n_y) >= self.percent * F.greatest(n_x, n_y)) \
+            & (agreement(f"{x}.sketch", f"{y}.sketch") >= likely(self.percent))
 
     def leaders(self, postings: DataFrame, turn: int) -> None:
-        """Compare every class of a bucket with the bucket's leader of this turn."""
-        lead = postings.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("rank"), "key", "n", "comp")).alias("lead"))
-        pairs = postings.join(lead, "bucket").where((F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n"), self.percent))
-        self.link(pairs.select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct())
+        """Compare every class with the likeliest leader of its buckets."""
+        rows = postings.join(self.sketches, "key")
+        lead = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("rank"), "key", "n", "comp", "sketch")).alias("lead"))
+        pairs = rows.alias("x").join(lead.select("bucket", "lead.*").alias("y"), "bucket").where(self.may_link("x", "y"))
+        best = pairs.groupBy(F.col("x.key").alias("b")).agg(
+            F.max(F.struct(agreement("x.sketch", "y.sketch").alias("agree"), F.col("y.key").alias("a"))).alias("best"))
+        self.link(best.select("best.a", "b"))
 
     def listed(self, postings: DataFrame) -> None:
-        """Compare all pairs of different components that share a bucket."""
-        x, y = postings.alias("x"), postings.alias("y")
-        pairs = x.join(y, "bucket").where((F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-                                          & fits(F.col("x.n"), F.col("y.n"), self.percent))
-        self.link(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+        """Compare all pairs of different components that share a bucket, each pair in its first one."""
+        rows = postings.join(self.sketches, "key").join(postings.groupBy("key").agg(F.collect_list("bucket").alias("mine")), "key")
+        first = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("bucket")
+        pairs = rows.alias("x").join(rows.alias("y"), "bucket").where((F.col("x.key") < F.col("y.key")) & self.may_link("x", "y") & first)
+        self.link(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
 
 
 def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, hot: int = HOT) -> DataFrame:
     """(key, comp) of the classes with candidates: comp is the smallest key reachable by links.
-    ``classes``: key, doc_id (of one of its documents), n, bands."""
-    all_ = classes.select("key", "n", F.explode("bands").alias("bucket"))
-    shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low")).where("size > 1").select("bucket")
+    ``classes``: key, doc_id (of one of its documents), n, bands, sketch."""
+    all_ = classes.select("key", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     postings = store(all_.join(shared, "bucket"), "postings")
     candidates = store(classes.join(postings.select("key").distinct(), "key", "left_semi"), "candidates")
     ids = store(candidates.select("doc_id").distinct(), "candidate-ids")  # stored, so its size is known to the join
     again = text_rows(docs).alias("t").join(ids.alias("i"), F.expr("t.doc_id <=> i.doc_id"), "left_semi").mapInArrow(_sets(width), SETS)
     sets = store(again.join(candidates.select("key"), "key", "left_semi").groupBy("key")
                  .agg(F.first("n").alias("n"), F.first("elements").alias("elements")), "full-sets")
-    linker = Linker(sets, percent)
+    linker = Linker(sets, candidates.select("key", "sketch"), percent)
 
     def rounds(some: DataFrame) -> DataFrame:
-        for turn in range(ROUNDS):
-            some = linker.unsettled(some.select("bucket", "key", "n"))
-            linker.leaders(some, turn)
-        return linker.unsettled(some.select("bucket", "key", "n"))
+        some = linker.unsettled(some)
+        for turn in range(TURNS):
+            linker.leaders(some.where(F.col("band") % TURNS == turn), turn)
+            some = linker.unsettled(some)
+        return some
 
     left = rounds(postings)
     linker.listed(left.where(F.col("size") <= hot))
     large = left.where(F.col("size") > hot)
     if not large.isEmpty():
-        second = large.join(candidates.select("key", F.explode("bands").alias("band")), "key").where("band != bucket") \
-            .select(F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket"), "key", "n").distinct()
-        linker.listed(rounds(store(second, "second-bands")))
+        bands_ = candidates.select("key", F.posexplode("bands").alias("second", "other"))
+        cut = large.join(bands_, "key").where("other != bucket").select(
+            F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), F.greatest("band", "second").alias("band"),
+            "key", "n").distinct()
+        linker.listed(rounds(store(cut, "second-bands")))
     return linker.labels
 
 
@@ -217,7 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     kept (whether that is its own)."""
     signed = store(text_rows(docs).mapInArrow(_signed(width), SIGNED), "signed")
     classes = store(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
-                                                           F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "classes")
+                                                           F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "classes")
     labels = class_components(docs, classes, width, percent, hot)
     named = classes.select("key", "doc_id", "copies").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

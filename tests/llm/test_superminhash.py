@@ -44,6 +44,19 @@ def test_equal_slots_estimate_the_similarity():
         assert abs(np.mean(hits) - shared / (shared + 2 * other)) < 0.03
 
 
+def test_sketches_agree_in_the_equal_slots(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2 ** 40, (20, smh.SLOTS)).astype(np.uint64)
+    b = np.where(rng.random(a.shape) < 0.7, a, rng.integers(0, 2 ** 40, a.shape).astype(np.uint64))
+    nibbles = lambda s: [[int(x) >> 4 * i & 15 for x in row for i in range(16)] for row in s]
+    x, y = smh.sketch(a), smh.sketch(b)
+    want = [sum(p == q for p, q in zip(u, v)) for u, v in zip(nibbles(x), nibbles(y))]
+    df = spark.createDataFrame([(i, p, q) for i, (p, q) in enumerate(zip(x.view(np.int64).tolist(), y.view(np.int64).tolist()))],
+                               "i int, x array<long>, y array<long>")
+    assert [r[0] for r in df.orderBy("i").select(smh.agreement("x", "y")).collect()] == want
+    assert ((a == b).sum(axis=1) <= want).all() and smh.likely(80) == 152
+
+
 @pytest.mark.parametrize("seed,hot", [(1, 50), (2, 2)])
 def test_equal_to_brute_force(spark, seed, hot):
     rows = corpus(seed)
