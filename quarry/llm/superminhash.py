@@ -16,8 +16,8 @@ similarity 0.8 gives (3e-7) goes unverified, so passages in common cost little.
 
 Verification. Candidates are compared on their full sets, which are made again for them alone. Only
 components are asked for: in ``TURNS`` rounds, over a share of the bands each, a class is compared with the
-likeliest of its buckets' leaders, and linked ones are merged by a distributed union-find. Then the pairs of
-different components are listed, each in its first common bucket only. A bucket that then still has more than
+likeliest of its buckets' leaders, and linked ones are merged by a distributed union-find. Then the classes of
+buckets with different components travel with their sets, and the join gives true links only. A bucket that then still has more than
 ``HOT`` classes is cut by second bands first: a linked pair agrees in two bands (all but 8e-6 of pairs
 at 0.8 exactly, fewer above).
 
@@ -50,7 +50,7 @@ TURNS = 4
 #: Elements that take their steps at once.
 SLICE = 100_000
 #: Buckets of more classes, of different components still, are cut by second bands.
-HOT = 1_000
+HOT = 20_000
 #: Classes of more copies get their component by a broadcast (at most rows / COPIES of them).
 COPIES = 100_000
 STEP = np.uint64(32)
@@ -174,12 +174,18 @@ class Linker:
         self.sets, self.sketches, self.percent = sets, sketches, percent
         self.labels = sets.select("key", F.col("key").alias("comp"))
 
+    def same(self, x: str, y: str) -> Column:
+        """Whether the full sets of two rows reach the threshold."""
+        n_x, n_y, overlap = F.col(f"{x}.n"), F.col(f"{y}.n"), F.size(F.array_intersect(f"{x}.elements", f"{y}.elements"))
+        return 100 * overlap >= self.percent * (n_x + n_y - overlap)
+
     def link(self, pairs: DataFrame) -> None:
-        """Merge the components that verified ones of the distinct pairs (a, b) connect."""
-        side = lambda c: self.sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("elements").alias(f"e_{c}"))
-        overlap = F.size(F.array_intersect("e_a", "e_b"))
-        links = store(pairs.join(side("a"), "a").join(side("b"), "b")
-                      .where(100 * overlap >= self.percent * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b"), "links")
+        """Merge the components that verified ones of the pairs (a, b) connect."""
+        x, y = self.sets.alias("x"), self.sets.alias("y")
+        self.merge(pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key")).where(self.same("x", "y")).select("a", "b"))
+
+    def merge(self, links: DataFrame) -> None:
+        links = store(links, "links")
         at = lambda c: self.labels.select(F.col("key").alias(c), F.col("comp").alias(f"comp_{c}"))
         between = store(links.join(at("a"), "a").join(at("b"), "b").where("comp_a != comp_b")
                         .select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "merges")
@@ -212,11 +218,11 @@ class Linker:
         self.link(best.select("best.a", "b"))
 
     def listed(self, postings: DataFrame) -> None:
-        """Compare all pairs of different components that share a bucket, each pair in its first one."""
-        rows = postings.join(self.sketches, "key").join(postings.groupBy("key").agg(F.collect_list("bucket").alias("mine")), "key")
-        first = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("bucket")
-        pairs = rows.alias("x").join(rows.alias("y"), "bucket").where((F.col("x.key") < F.col("y.key")) & self.may_link("x", "y") & first)
-        self.link(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
+        """Find the links between different components among the pairs that share a bucket. The sets travel
+        with the postings, so that pairs that are none are never written."""
+        rows = postings.join(self.sketches, "key").join(self.sets.select("key", "elements"), "key")
+        links = rows.alias("x").join(rows.alias("y"), "bucket").where((F.col("x.key") < F.col("y.key")) & self.may_link("x", "y") & self.same("x", "y"))
+        self.merge(links.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
 
 
 def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, hot: int = HOT) -> DataFrame:
