@@ -320,10 +320,10 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) ->
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """The rows of ``docs`` (all columns as they are) without near duplicates: of each component the row
-    with the smallest ``doc_id`` stays, once. A row without words is in no component and stays; of rows
-    without an id, one of each text stays."""
+    with the smallest ``doc_id`` stays, once (two texts of one id both stay). A row without words is in no component and
+    stays; of rows without an id, one of each text stays."""
     found = join(docs, width, percent, rounds)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.where("doc_id is not null")
     unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    return named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(unnamed)
