@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -48,6 +50,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
         step = make()
         for batch in batches:
             yield from step(batch)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -91,6 +94,16 @@ class Memo(dict):
         self.size += sum(map(len, missing))
 
 
+def release() -> None:
+    """Give freed memory of this worker back to the system: workers are reused by later stages, and an
+    allocator that keeps what it once held adds up over a pipeline."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def quiet_tokenizers() -> None:
     """One thread per task: the parallelism is Spark's."""
     import os

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.blocks import cuts, deltas, planes, range_start, undeltas, unplanes
 from quarry.llm.bpe import mix
-from quarry.llm.common import map_batches, store, text_rows
+from quarry.llm.common import release, store, text_rows
 from quarry.llm.components import components
 
 #: Hashes are cut to this many bits where they travel; sizes and classes use all 64.
@@ -111,6 +111,8 @@ def _blocks(parts: int, width: int):
                     doc_ids, keys, sizes, sets, total = [], [], [], [], 0
         if sets:
             yield emit(doc_ids, keys, sizes, sets)
+        doc_ids, keys, sizes, sets = [], [], [], []
+        release()
     return run
 
 
@@ -145,7 +147,10 @@ def _count(parts: int):
                           "counts": planes(df[lo:hi][shared], 5)}
                 for c in out:
                     out[c].append(values.get(c))
-        return pa.table([pa.array(out[f.name], f.type) for f in _REPLY], schema=_REPLY)
+        found = pa.table([pa.array(out[f.name], f.type) for f in _REPLY], schema=_REPLY)
+        del hashes, idx, n, df, out
+        release()
+        return found
     return run
 
 

@@ -219,10 +219,14 @@ class Linker:
 
     def listed(self, postings: DataFrame) -> None:
         """Find the links between different components among the pairs that share a bucket. The sets travel
-        with the postings, so that pairs that are none are never written."""
-        rows = postings.join(self.sketches, "key").join(self.sets.select("key", "elements"), "key")
-        links = rows.alias("x").join(rows.alias("y"), "bucket").where((F.col("x.key") < F.col("y.key")) & self.may_link("x", "y") & self.same("x", "y"))
-        self.merge(links.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+        with the postings, so that pairs that are none are never written; a pair is compared in the first of
+        its common buckets."""
+        mine = postings.groupBy("key").agg(F.collect_list("bucket").alias("mine"))  # at most one per band
+        rows = postings.join(self.sketches, "key").join(self.sets.select("key", "elements"), "key").join(mine, "key")
+        first = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("bucket")
+        links = rows.alias("x").join(rows.alias("y"), "bucket") \
+            .where((F.col("x.key") < F.col("y.key")) & self.may_link("x", "y") & first & self.same("x", "y"))
+        self.merge(links.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
 
 
 def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, hot: int = HOT) -> DataFrame:
@@ -250,9 +254,8 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: i
     large = left.where(F.col("size") > hot)
     if not large.isEmpty():
         bands_ = candidates.select("key", F.posexplode("bands").alias("second", "other"))
-        cut = large.join(bands_, "key").where("other != bucket").select(
-            F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), F.greatest("band", "second").alias("band"),
-            "key", "n").distinct()
+        cut = large.join(bands_, "key").where("band < second").select(
+            F.xxhash64("bucket", "other").alias("bucket"), "band", "key", "n")
         linker.listed(rounds(store(cut, "second-bands")))
     return linker.labels
 
