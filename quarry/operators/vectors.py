@@ -9,9 +9,9 @@ Two search paths, both exact and returning the same rows:
   replicated to every KB block (and vice versa) and each block pair is scored in a
   cogrouped pandas function. In both cases only ``k`` rows per question leave a
   task, and a ``row_number`` window (planned as WindowGroupLimit) merges them.
-* ``topk_sparse`` over TF-IDF term weights: an inverted-index equi-join on the
-  token, summed per (question, document). No cross join and no cut: frequent tokens
-  count with a small weight, and AQE splits their long posting lists.
+* ``topk_sparse`` over TF-IDF term weights: a stored inverted index (``text_index``).
+  Rare tokens give candidates, norm bounds decide which documents the frequent tokens can
+  still lift into the result, and only those are scored. No cross join, no cut, every token counts.
 
 Ties are broken by ``round(score, 9) desc, key asc`` everywhere so results are
 deterministic and comparable with SQL.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, RetrievalConfig
 from quarry.functions.text import TOKEN_PATTERN
+from quarry.operators.text_index import ImpactIndex, stored
 
 # --------------------------------------------------------------------------- B1
 
@@ -77,15 +78,14 @@ def smooth_idf(dfreq: DataFrame, n_docs: int) -> DataFrame:
 def fit_tfidf(kb: DataFrame, id_col: str, text_col: str, cfg: RetrievalConfig = DEFAULT,
               persist: bool = False) -> TfidfModel:
     """Learn document frequencies (one shuffle on token). Runs a count action. With
-    ``persist`` the document frequencies are materialised once as a reliable
-    checkpoint in the shared checkpoint folder -- worth it when several actions reuse
+    ``persist`` the document frequencies are written once to the shared checkpoint
+    folder -- worth it when several actions reuse
     the model; within one query Spark reuses the exchange anyway."""
     n_docs = kb.count()
     dfreq = (kb.select(id_col, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
              .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     if persist:
-        from quarry.session import materialize
-        dfreq = materialize(dfreq)
+        dfreq = stored(dfreq, "document-frequencies")
     return TfidfModel(vocab=smooth_idf(dfreq, n_docs), n_docs=n_docs, dfreq=dfreq)
 
 
@@ -243,15 +243,12 @@ def topk(questions: DataFrame, kb: DataFrame, k: int, *, q_key: str = "question_
     return ranked.where(F.col("rank") <= k).select(q_key, "rank", kb_key, "score")
 
 
-def topk_sparse(q_terms: DataFrame, kb_terms: DataFrame, k: int, *, q_key: str = "question_id",
+def topk_sparse(q_terms: DataFrame, kb_terms: DataFrame | ImpactIndex, k: int, *, q_key: str = "question_id",
                 kb_key: str = "doc_id") -> DataFrame:
-    """B2 over sparse term weights: inverted-index equi-join on token.
-    -> (q_key, rank, kb_key, score)."""
-    scores = (q_terms.select(q_key, "token", F.col("w").alias("wq"))
-              .join(kb_terms.select(kb_key, "token", F.col("w").alias("wd")), "token")
-              .groupBy(q_key, kb_key).agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
-    ranked = scores.withColumn("rank", F.row_number().over(_rank_window(q_key, kb_key)))
-    return ranked.where(F.col("rank") <= k).select(q_key, "rank", kb_key, "score")
+    """B2 over sparse term weights (unit vectors), exact, with upper bounds (``operators.text_index``). Several
+    searches of one KB share an index: pass it in place of the terms. -> (q_key, rank, kb_key, score)."""
+    index = kb_terms if isinstance(kb_terms, ImpactIndex) else ImpactIndex.build(kb_terms, key=kb_key)
+    return index.search(q_terms, k, q_key)
 
 
 # --------------------------------------------------------------------------- B3

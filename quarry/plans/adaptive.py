@@ -17,6 +17,7 @@ from quarry.operators import fusion as E
 from quarry.operators import rerank as Fr
 from quarry.operators import select as G
 from quarry.operators import vectors as B
+from quarry.operators.text_index import ImpactIndex
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -27,7 +28,7 @@ class KnowledgeBase:
 
     docs: DataFrame
     tfidf: B.TfidfModel
-    terms: DataFrame  # doc_id, token, w
+    index: ImpactIndex
     bm25: Fr.Bm25Model
 
     counts: DataFrame | None = None  # doc_id, token, tf (stored)
@@ -49,12 +50,12 @@ class KnowledgeBase:
                                                     (F.col("df") + 0.5)).alias("idf"))
         bm25 = Fr.Bm25Model(docs=docs.select("doc_id", "content"), df=idf_all,
                             avgdl=float(total) / max(n_docs, 1), tf=counts)
-        return cls(docs=docs, tfidf=tfidf, terms=tfidf.weights_from_counts(counts), bm25=bm25, counts=counts)
+        return cls(docs=docs, tfidf=tfidf, index=ImpactIndex.build(tfidf.weights_from_counts(counts), n_docs), bm25=bm25, counts=counts)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """queries (sq_key, text) -> (sq_key, rank, doc_id, score)."""
         q_terms = self.tfidf.transform(queries, "sq_key", "text")
-        return B.topk_sparse(q_terms, self.terms, k, q_key="sq_key", kb_key="doc_id")
+        return self.index.search(q_terms, k, "sq_key")
 
     def vectors_for(self, doc_ids: DataFrame, dim: int = DEFAULT.dense_dim) -> DataFrame:
         """Dense hashed vectors of the given documents only, from the stored counts."""

@@ -41,11 +41,10 @@ rk AS (SELECT question_id, doc_id, score,
 
 SQL_KB = r"""
 kb AS (SELECT doc_id, source AS type,
-              trim(coalesce(regexp_replace(regexp_extract(text, '^\s*(\S+(?:\s+\S+){0,2})', 1), '\s+', ' ', 'g'), '')
-                   || ' #' || CAST(doc_id AS VARCHAR), ' ') AS name,
+              coalesce(regexp_replace(regexp_extract(text, '^\s*(\S+(?:\s+\S+){0,2})', 1), '\s+', ' ', 'g'), '') AS name,
               text AS content FROM documents),
 kbk AS (SELECT doc_id, type, name, content,
-               CASE WHEN coalesce(type, '') <> '' AND coalesce(name, '') <> '' THEN type || '::' || name
+               CASE WHEN coalesce(type, '') <> '' THEN type || '::' || trim(name || ' #' || CAST(doc_id AS VARCHAR), ' ')
                     ELSE 'content::' || substr(sha256(coalesce(content, '')), 1, 16) END AS doc_key FROM kb)
 """
 
@@ -60,7 +59,7 @@ def text_kb(spark, sf):
 
 def text_model(spark, sf):
     kb = text_kb(spark, sf)
-    return kb, B.fit_tfidf(kb, "doc_id", "content")
+    return kb, B.fit_tfidf(kb, "doc_id", "content", persist=True)
 
 
 def text_hits(spark, sf, k):

@@ -2,7 +2,7 @@
 
 A KB row is ``doc_id, doc_key, type, name, content`` (+ optional alias/subfamily
 arrays). ``documents_kb`` maps the ``documents`` table (type = source, name = first
-three words and the id); ``verbatim_gold`` finds, for each question text, the documents that
+three words, key = source, name and id); ``verbatim_gold`` finds, for each question text, the documents that
 contain it verbatim.
 """
 
@@ -28,10 +28,11 @@ def first_words(text) -> F.Column:
 
 def documents_kb(spark, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    # the id makes the name, and so the document key, unique per document
-    name = F.trim(F.concat(F.coalesce(first_words(F.col("text")), F.lit("")), F.lit(" #"), F.col("doc_id").cast("string")))
-    return d.select("doc_id", F.col("source").alias("type"), name.alias("name"), F.col("text").alias("content"),
-                    "lang", "source", doc_key(F.col("source"), name, F.col("text")).alias("doc_key"))
+    title = F.coalesce(first_words(F.col("text")), F.lit(""))
+    # the id makes the document key unique; the name stays the title, which anchors are compared with
+    unique = F.trim(F.concat(title, F.lit(" #"), F.col("doc_id").cast("string")))
+    return d.select("doc_id", F.col("source").alias("type"), title.alias("name"), F.col("text").alias("content"),
+                    "lang", "source", doc_key(F.col("source"), unique, F.col("text")).alias("doc_key"))
 
 
 def benchmark_questions(spark, sf: str) -> DataFrame:
