@@ -450,6 +450,42 @@ def q_build_or_load_kb(spark, sf):
     return stored_entity_documents(spark, sf).select("doc_id", "type", "name", "doc_key")
 
 
+def two_part_questions(spark, sf):
+    """One question per benchmark item that asks for its first and for its last words, the first long word
+    without its third letter."""
+    words = F.split(F.trim("question"), r"\s+")
+    first, last = F.array_join(F.slice(words, 1, 8), " "), F.array_join(F.slice(words, -F.least(F.size(words), F.lit(8)), F.lit(8)), " ")
+    typo = F.regexp_replace(first, r"^(.*?\b\p{L}{2})\p{L}(\p{L}{4})", "$1$2")
+    text = F.concat(F.lit("What is "), typo, F.lit("? What does "), last, F.lit(" mean?"))
+    return benchmark_questions(spark, sf).where(F.trim("question") != "").select("question_id", text.alias("question"))
+
+
+def composed_answers(spark, sf):
+    from quarry.operators.answers import first_sentence_model
+    from quarry.plans.answer_adaptive import answer_adaptive
+    from quarry.plans.language_queries import custom_terms, dictionary
+    kb = P.KnowledgeBase.fit(documents_kb(spark, sf))
+    return answer_adaptive(two_part_questions(spark, sf), kb, first_sentence_model, dictionary(spark, sf), custom_terms(spark, sf))
+
+
+@register("answer_adaptive")
+def q_answer_adaptive(spark, sf):
+    """C13 + G11 + H1-H7 as one job: correct, split, retrieve, answer, validate, nest (flattened for comparison)."""
+    n = composed_answers(spark, sf).nested
+    item = F.explode("items").alias("item")
+    return rounded(n.select("question_id", "mode", "corrected", "spelling_confidence", item).select(
+        "question_id", "mode", "corrected", "spelling_confidence", "item.sub_no", F.col("item.question").alias("sub_question"),
+        "item.result.answer", "item.result.validation_status", "item.result.confidence",
+        F.col("item.result.validation.combined_score").alias("combined_score"),
+        F.col("item.result.meta.n_context_docs").alias("n_context_docs")))
+
+
+@register("answer_adaptive_report")
+def q_answer_adaptive_report(spark, sf):
+    """C14 of the composed job: preview, status and confidence per sub-question."""
+    return composed_answers(spark, sf).report()
+
+
 @register("run_evaluation_entities")
 def q_run_evaluation_entities(spark, sf):
     """J16 on the entity KB: generated relationship questions (sampled, I11) and the
