@@ -17,7 +17,7 @@ similarity 0.8 gives (3e-7) goes unverified, so passages in common cost little.
 Verification. Candidates are compared on their full sets, which are made again for them alone. Only
 components are asked for: in ``TURNS`` rounds, over a share of the bands each, a class is compared with the
 likeliest of its buckets' leaders, and linked ones are merged by a distributed union-find. Then the classes of
-buckets with different components travel with their sets, and the join gives true links only. A bucket that then still has more than
+buckets with different components travel with their sets and are compared block by block, which gives true links only. A bucket that then still has more than
 ``HOT`` classes is cut by second bands first: a linked pair agrees in two bands (all but 8e-6 of pairs
 at 0.8 exactly, fewer above).
 
@@ -49,6 +49,8 @@ SLOTS = 224
 TURNS = 4
 #: Elements that take their steps at once.
 SLICE = 100_000
+#: Classes of a bucket that are compared at once, and postings of small buckets in a task's group.
+BLOCK, GROUP = 1_000, 5_000
 #: Buckets of more classes, of different components still, are cut by second bands.
 HOT = 20_000
 #: Classes of more copies get their component by a broadcast (at most rows / COPIES of them).
@@ -167,6 +169,55 @@ def _sets(width: int):
     return run
 
 
+def _agreements(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """:func:`agreement` of a sketch with the rows of ``many``."""
+    x = one ^ many
+    x = (x | (x >> np.uint64(2))) & np.uint64(0x3333333333333333)
+    x = (x | (x >> np.uint64(1))) & np.uint64(0x1111111111111111)
+    return SLOTS - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
+def _compare(percent: int):
+    """The postings of some cells (a bucket, or two blocks of one) -> the pairs of keys that are links. A pair
+    is compared in the first of its common buckets."""
+    least = likely(percent)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+        chunk = column.combine_chunks()
+        values, ends = chunk.flatten().to_numpy(zero_copy_only=False), np.cumsum(chunk.value_lengths().to_numpy())
+        return np.split(values, ends[:-1])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("bucket", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        bucket, low, high, block, n, comp = (group.column(c).to_numpy() for c in ("bucket", "low", "high", "block", "n", "comp"))
+        keys = group.column("key").to_pylist()
+        sketches = np.stack(lists(group.column("sketch"))).view(np.uint64)
+        mine, elements = lists(group.column("mine")), lists(group.column("elements"))
+        new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        found = ([], [])
+        for start, end in zip([0, *new], [*new, len(bucket)]):
+            whole = low[start] == high[start]
+            for i in range(start, end):
+                if whole:
+                    at = np.arange(i + 1, end)
+                elif block[i] == low[i]:
+                    at = np.flatnonzero(block[start:end] == high[i]) + start
+                else:
+                    continue
+                at = at[(comp[at] != comp[i]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
+                at = at[_agreements(sketches[i], sketches[at]) >= least]
+                for j in at:
+                    if np.intersect1d(mine[i], mine[j], assume_unique=True)[0] != bucket[i]:
+                        continue
+                    overlap = len(np.intersect1d(elements[i], elements[j], assume_unique=True))
+                    if 100 * overlap >= percent * (n[i] + n[j] - overlap):
+                        found[0].append(keys[i])
+                        found[1].append(keys[j])
+        return pa.table([pa.array(x, pa.binary()) for x in found], schema=schema)
+    return run
+
+
 class Linker:
     """Verifies candidates and keeps the labels (key, comp) of the classes that have any."""
 
@@ -219,14 +270,19 @@ class Linker:
 
     def listed(self, postings: DataFrame) -> None:
         """Find the links between different components among the pairs that share a bucket. The sets travel
-        with the postings, so that pairs that are none are never written; a pair is compared in the first of
-        its common buckets."""
+        with the postings, so that pairs that are none are never written. Buckets of more than ``BLOCK`` classes are
+        cut into blocks and met block by block, smaller ones share tasks."""
         mine = postings.groupBy("key").agg(F.collect_list("bucket").alias("mine"))  # at most one per band
         rows = postings.join(self.sketches, "key").join(self.sets.select("key", "elements"), "key").join(mine, "key")
-        first = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("bucket")
-        links = rows.alias("x").join(rows.alias("y"), "bucket") \
-            .where((F.col("x.key") < F.col("y.key")) & self.may_link("x", "y") & first & self.same("x", "y"))
-        self.merge(links.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
+        groups = -(-postings.count() // GROUP)
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")) \
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(max(1, groups)))).otherwise(F.xxhash64("bucket", "low", "high"))
+        cells = rows.select(cell.alias("cell"), "bucket", "low", "high", "block", "key", "n", F.xxhash64("comp").alias("comp"),
+                            "sketch", "mine", "elements")
+        self.merge(cells.groupBy("cell").applyInArrow(_compare(self.percent), "a binary, b binary").distinct())
 
 
 def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, hot: int = HOT) -> DataFrame:

@@ -54,11 +54,13 @@ def test_sketches_agree_in_the_equal_slots(spark):
     df = spark.createDataFrame([(i, p, q) for i, (p, q) in enumerate(zip(x.view(np.int64).tolist(), y.view(np.int64).tolist()))],
                                "i int, x array<long>, y array<long>")
     assert [r[0] for r in df.orderBy("i").select(smh.agreement("x", "y")).collect()] == want
+    assert [int(smh._agreements(p, q[None])[0]) for p, q in zip(x, y)] == want
     assert ((a == b).sum(axis=1) <= want).all() and smh.likely(80) == 152
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 50), (2, 2)])
-def test_equal_to_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,block", [(1, 50, 1000), (2, 2, 1000), (3, 50, 3)])
+def test_equal_to_brute_force(spark, monkeypatch, seed, hot, block):
+    monkeypatch.setattr(smh, "BLOCK", block)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as key", "1 as n", "2 as bands", "3 as comp")
     got = [tuple(r) for r in smh.near_duplicates(df, hot=hot).collect()]
