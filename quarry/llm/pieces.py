@@ -10,6 +10,8 @@ neighbours.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 from quarry.llm.common import Memo, quiet_tokenizers
@@ -30,6 +32,12 @@ def load(path: str):
     return _WORKER[key]
 
 
+def ends_in_letter(text: str) -> bool:
+    """Is the last code point a letter still when it is normalised and lower-cased? (A dotted capital I
+    ends in a combining dot, which joins with the stop after it.)"""
+    return text[-1:].isalpha() and (text[-1].isascii() or unicodedata.normalize("NFC", text[-1]).lower()[-1].isalpha())
+
+
 def split(text: str) -> list[str]:
     """Pieces between blanks and line feeds. The tokenizer lower-cases; doing so here makes
     fewer distinct pieces. Only Latin-1 text is lower-cased, where both agree letter by letter, and
@@ -77,7 +85,7 @@ class PieceIds:
 
     def _encode(self, pieces: list[str]):
         memo, stops = self.memo, self.stops
-        stem = {p: p[:-1] for p in pieces if p[-1:] in stops and p[-2:-1].isalpha()}
+        stem = {p: p[:-1] for p in pieces if p[-1:] in stops and ends_in_letter(p[:-1])}
         alone = [p for p in pieces if "<|" in p]  # may hold the special string that separates
         wanted = list({stem.get(p, p) for p in pieces}.difference(memo).difference(alone))
         ids = dict(zip(wanted, self._library(wanted)))
