@@ -57,21 +57,36 @@ def _cut(path: str, capacity: int, end_id: int):
 
 
 class SumIndex:
-    """Which lengths are left, and which one, two or three of them add up to a gap."""
+    """Which lengths are left, and which one, two or three of them add up to a gap.
+
+    ``pairs[s]`` is the smallest length that, with the length s - it, adds up to s. Counts only fall, so an
+    entry only rises: it is moved on when a look-up finds it used up, and ``NONE`` stays ``NONE``. A triple is
+    a length whose rest has an entry there.
+    """
+
+    NONE = 1 << 30
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
+        self.pairs = np.full(2 * len(self.left), self.NONE, np.int64)
+        lengths = np.flatnonzero(self.left[1:] > 0) + 1
+        for i in range(len(lengths) - 1, -1, -1):  # the smallest is written last
+            a = lengths[i]
+            self.pairs[a + lengths[i + (self.left[a] < 2):]] = a
 
     def pair(self, total: int, used: dict[int, int]) -> tuple[int, int] | None:
         """The pair with the largest first part."""
-        if total < 2:
+        first, half = int(self.pairs[total]), total // 2
+        if first > half:
             return None
-        low = self.left[1:total // 2 + 1] > 0
-        high = self.left[total - 1:total - total // 2 - 1:-1] > 0
-        for a in np.flatnonzero(low & high)[:8] + 1:
-            a, b = int(a), int(total - a)
-            if self._free(used, (a, b)):
-                return b, a
+        there = (self.left[first:half + 1] > 0) & (self.left[total - first:total - half - 1:-1] > 0)
+        if 2 * half == total and self.left[half] < 2:
+            there[-1] = False
+        found = np.flatnonzero(there) + first
+        self.pairs[total] = found[0] if len(found) else self.NONE
+        for a in found:  # only the few lengths in use can stand in the way
+            if self._free(used, (int(a), total - int(a))):
+                return total - int(a), int(a)
         return None
 
     def exact(self, gap: int, used: dict[int, int]) -> tuple[int, ...] | None:
@@ -80,18 +95,20 @@ class SumIndex:
         if found := self.pair(gap, used):
             return found
         # each third part is the largest of the three, so it holds a third of the gap at least
-        for c in np.flatnonzero(self.left[:gap - 1] > 0)[::-1]:
-            if 3 * c < gap:
-                break
+        low = -(-gap // 3)
+        third = np.flatnonzero((self.left[low:gap] > 0) & (self.pairs[gap - low:0:-1] < self.NONE))[::-1] + low
+        for c in third:
             if self._free(used, (int(c),)) and (found := self.pair(gap - int(c), used | {int(c): used.get(int(c), 0) + 1})):
                 return (int(c), *found)
         return None
 
     def largest(self, gap: int, used: dict[int, int]) -> int | None:
-        for a in np.flatnonzero(self.left[:gap + 1] > 0)[::-1]:
-            if self._free(used, (int(a),)):
-                return int(a)
-        return None
+        free = self.left[:gap + 1].copy()
+        for a, n in used.items():
+            if a <= gap:
+                free[a] -= n
+        found = np.flatnonzero(free > 0)
+        return int(found[-1]) if len(found) else None
 
     def _free(self, used: dict[int, int], more: tuple[int, ...]) -> bool:
         return all(self.left[a] >= used.get(a, 0) + more.count(a) for a in more)

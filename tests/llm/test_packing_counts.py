@@ -1,6 +1,8 @@
 """Packing and token counts against the library and brute force."""
 
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +34,12 @@ def test_pieces_equal_the_library(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [expected_ids(t) for t in texts]
 
 
+def test_a_stop_after_a_letter_that_is_none_when_normalised():
+    texts = ["İ.", "xİ, İ.", "\u0958.", "É. ß, Σ.", "e\u0301."]
+    got = pieces.PieceIds(PATH).ids(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [expected_ids(t) for t in texts]
+
+
 def test_pack_is_gapless_and_whole(spark):
     rows = packing.pack(documents(spark), PATH, bucket_rows=2).collect()
     ids = {i: [*expected_ids(t), 1] for i, t in enumerate(TEXTS)} | {None: [*expected_ids("no id"), 1]}
@@ -76,6 +84,64 @@ def test_plan_takes_exact_complements():
     assert sum(t for _, t in packing.plan(counts, 10)) == 3
 
 
+def test_pair_is_found_behind_many_blocked_ones():
+    counts = np.zeros(201, int)
+    small = list(range(1, 19))
+    counts[small + [200 - a for a in small]] = 1
+    used = {a: 1 for a in small[:-1]}
+    assert packing.SumIndex(counts).pair(200, used) == (182, 18)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=10), st.lists(st.integers(1, 24), max_size=6), st.lists(st.integers(1, 40), min_size=1, max_size=8))
+def test_sum_index_finds_every_exact_complement(lengths, taken, gaps):
+    counts = np.bincount(lengths, minlength=41)
+    index = packing.SumIndex(counts)
+    for gap in gaps:
+        free = Counter(lengths)
+        used = {a: n for a, n in Counter(taken).items() if n <= free[a]}
+        left = sorted((free - Counter(used)).elements())
+        sums = {sum(c) for n in (1, 2, 3) for c in combinations(left, n)}
+        got = index.exact(gap, used)
+        assert (got is not None) == (gap in sums)
+        if got is not None:
+            assert sum(got) == gap and not Counter(got) - Counter(left)
+            for a in got:  # the counts fall, the index must follow
+                index.left[a] -= 1
+                lengths.remove(a)
+
+
+def fewest(lengths, capacity):
+    """Exhaustive packing of a few pieces."""
+    best = len(lengths)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[i] <= capacity and bins[b] not in bins[:b]:
+                go(i + 1, bins[:b] + [bins[b] + lengths[i]] + bins[b + 1:])
+        go(i + 1, bins + [lengths[i]])
+    go(0, [])
+    return best
+
+
+def test_plan_against_exhaustive_packing():
+    rng = np.random.default_rng(5)
+    more = 0
+    for _ in range(150):
+        lengths = sorted(rng.integers(1, 21, rng.integers(1, 9)).tolist(), reverse=True)
+        got = sum(t for _, t in packing.plan(np.bincount(lengths, minlength=21), 20))
+        optimum = fewest(lengths, 20)
+        assert optimum <= got <= optimum + 1
+        more += got - optimum
+    assert more <= 3
+
+
 def brute_counts(texts):
     return {i: len(expected_ids(t)) for i, t in enumerate(texts)}
 
