@@ -1,7 +1,7 @@
 """Personal data in whole texts (op 4): anchor expansion.
 
-One Aho-Corasick pass finds the anchors: at-signs, plus signs, digits, ``://`` and
-identifier cues. A deterministic local parser expands each anchor to its boundaries and
+One Aho-Corasick pass over the text with A-Z folded finds the anchors: at-signs, plus signs, digits,
+colons, ``://``, spelled-out dots and identifier cues. A deterministic local parser expands each anchor to its boundaries and
 validates it. Nothing else of a text is looked at by Python.
 
 Base kinds are the leftmost non-overlapping matches of fixed patterns, then validated, with
@@ -14,7 +14,10 @@ no retry inside a match that fails:
 * phone: from a plus sign, 8 to 15 digits.
 
 The method adds: ``url`` (``scheme://user:password@host``: an address that holds a login),
-``iban`` (mod-97 check) and ``account`` (6 to 17 digits after an account cue). Base spans stay.
+``iban`` (mod-97 check), ``account`` (6 to 17 digits after an account cue), ``secret`` (the value
+assigned with ``=`` or ``:`` to a token, key, secret or password: 8 characters or more, with a digit and a letter;
+and access keys and signed tokens of published formats), ``ipv6`` (a valid address of three groups or more)
+and ``spelled`` (``name at host dot tld``, also in brackets). Base spans stay.
 
 Defined cases: null or empty text has no spans; a null ``doc_id`` is kept; repeated rows
 give repeated results; an empty table gives an empty result; other columns are kept by
@@ -23,6 +26,7 @@ give repeated results; an empty table gives an empty result; other columns are k
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import ahocorasick
@@ -45,18 +49,32 @@ SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 IBAN = re.compile(r"[\s:#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"\s?(?:no|nr|number)?[\s.:#=]{0,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 
+#: what may stand between a cue and its value: the rest of the name, a closing quote, the sign, an opening quote
+ASSIGNED = re.compile(r"(?:[_-]?(?:key|token|secret|id|value))?[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:bearer[ \t]+)?[\"'`]?"
+                      r"([^\s\"'`,;<>(){}\[\]]{8,})", re.I)
+#: published formats, each from its fixed beginning on
+FORMATS = {"akia": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+           "eyj": re.compile(r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}")}
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "passphrase", "apikey", "api_key", "api-key", "api key",
+               "access_key", "access-key", "private_key", "private-key", "credential")
+HEX_OR_COLON = frozenset("0123456789abcdefABCDEF:")
+AT = re.compile(r"(?:[ \t]+at[ \t]+|[ \t]?[\[(]at[\])][ \t]?)\Z", re.I)
+DOT = r"(?:[ \t]+dot[ \t]+|[ \t]?[\[(]dot[\])][ \t]?)"
+DOT_BEFORE = re.compile(DOT + r"\Z", re.I)
+ENDINGS = re.compile(rf"(?:(?:\.|{DOT})[A-Za-z0-9-]+)+", re.I)
+NAME_WIDTH, HOST_WIDTH, SIGN_WIDTH = 64, 253, 8  # longest local part and host of an address; a spelled sign with its blanks
+
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "iban", "account")
+KINDS = (*BASE_KINDS, "url", "iban", "account", "secret", "ipv6", "spelled")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    anchors = {"@": "at", "+": "plus", "://": "scheme"} | dict.fromkeys(DIGITS, "digit")
-    for cue in ("iban", "account", "acct", "konto"):
-        kind = "iban" if cue == "iban" else "account"
-        anchors |= dict.fromkeys((cue, cue.upper(), cue.capitalize()), kind)
+    anchors = {"@": "at", "+": "plus", ":": "colon", "://": "scheme", "iban": "iban"} | dict.fromkeys(DIGITS, "digit")
+    anchors |= dict.fromkeys(("account", "acct", "konto"), "account") | dict.fromkeys(SECRET_CUES, "secret")
+    anchors |= dict.fromkeys((" dot ", "[dot]", "(dot)", "\tdot\t"), "dot") | {f: f for f in FORMATS}
     for text, kind in anchors.items():
         found.add_word(text, kind)
     found.make_automaton()
@@ -79,6 +97,26 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def folded(text: str) -> str:
+    """A-Z in lower case; every code point keeps its place."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def secret_valid(value: str) -> bool:
+    """Not a word and not a number: letters and digits, and no address or path."""
+    return (any(c in DIGITS for c in value) and any(c.isalpha() for c in value)
+            and "://" not in value and not value.startswith(("/", "./", "www.")))
+
+
+def ipv6_valid(text: str) -> bool:
+    if sum(bool(g) for g in text.split(":")) < 3:
+        return False
+    try:
+        return ipaddress.IPv6Address(text) is not None
+    except ValueError:
+        return False
+
+
 class Finder:
     """All spans (kind, start, end) of a text by one pass over its anchors."""
 
@@ -95,7 +133,7 @@ class Finder:
             if valid:
                 out[kind].append((kind, start, end))
 
-        for last, kind in self.anchors.iter(text):
+        for last, kind in self.anchors.iter(folded(text)):
             if kind == "digit":
                 run_starts, last_digit = last_digit != last - 1, last
                 if last >= over["card"] and (m := CARD.match(text, last)):
@@ -112,17 +150,72 @@ class Finder:
             elif kind == "plus":
                 if m := PHONE.match(text, last):
                     take("phone", last, m.end(), 8 <= len(only_digits(m[0])) <= 15)
+            elif kind == "colon":
+                if last >= over["ipv6"]:
+                    start, end = last, self._hex_end(text, last + 1)
+                    while start > max(over["ipv6"], last - 5) and text[start - 1] in HEX_OR_COLON:
+                        start -= 1
+                    stop = end - (text[end - 1] == ":" and text[end - 2:end] != "::")
+                    apart = not (start and (text[start - 1].isalnum() or text[start - 1] in "_.")) and \
+                        not (end < len(text) and (text[end].isalnum() or text[end] == "_"))
+                    take("ipv6", start, stop, apart and stop - start <= 39 and ipv6_valid(text[start:stop]))
+                    over["ipv6"] = end  # one try for each run
             elif kind == "scheme":
                 if (s := SCHEME.search(text[max(0, last - 22):last - 2])) and (m := LOGIN.match(text, last + 1)):
                     take("url", last - 2 - len(s[0]), m.end(), True)
             elif kind == "iban":
                 if m := IBAN.match(text, last + 1):
                     take("iban", m.start(1), m.end(1), iban_valid(m[1]))
-            elif m := ACCOUNT.match(text, last + 1):
-                take("account", m.start(1), m.end(1), True)
+            elif kind == "account":
+                if m := ACCOUNT.match(text, last + 1):
+                    take("account", m.start(1), m.end(1), True)
+            elif kind == "secret":
+                if last >= over["secret"] and (m := ASSIGNED.match(text, last + 1)):
+                    end = m.start(1) + len(m[1].rstrip(".!?:"))
+                    take("secret", m.start(1), end, end - m.start(1) >= 8 and secret_valid(text[m.start(1):end]))
+            elif kind == "dot":
+                at = last - 4  # an anchor has five characters
+                if text[at] != " " and at and text[at - 1] in " \t":
+                    at -= 1
+                if at >= over["spelled"] and (start := self._name_start(text, at, over["spelled"])) < at and (m := ENDINGS.match(text, at)):
+                    take("spelled", start, m.end(), True)
+            else:
+                start = last + 1 - len(kind)
+                if start >= over["secret"] and (start == 0 or not text[start - 1].isalnum()) and (m := FORMATS[kind].match(text, start)):
+                    take("secret", start, m.end(), True)
         return [s for k in KINDS for s in out[k]]
 
 
+    @staticmethod
+    def _hex_end(text: str, at: int) -> int:
+        while at < len(text) and text[at] in HEX_OR_COLON:
+            at += 1
+        return at
+
+    @staticmethod
+    def _back(text: str, at: int, low: int) -> int:
+        while at > low and text[at - 1] in LOCAL:
+            at -= 1
+        return at
+
+    def _name_start(self, text: str, at: int, low: int) -> int:
+        """Where the name of ``name at host`` before ``at`` starts; ``at`` if there is none."""
+        host = self._back(text, at, max(low, at - HOST_WIDTH))
+        if host == at or not (m := AT.search(text[max(low, host - SIGN_WIDTH):host])):
+            return at
+        end = host - len(m[0])
+        least = max(low, end - NAME_WIDTH)
+        start = self._back(text, end, least)
+        if start == end:
+            return at
+        while m := DOT_BEFORE.search(text[max(least, start - SIGN_WIDTH):start]):
+            more = self._back(text, start - len(m[0]), least)
+            if more == start - len(m[0]):
+                break
+            start = more
+        return start
+
+
 def merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans joined where they overlap, in order; a joined span has the kind of its first."""
     out: list[list] = []
@@ -174,8 +267,8 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts per base kind, base_sha256 and spans as text."""
+    """Counts per base kind, base_sha256, spans as text and the number of all spans."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"),
-                        joined(F.col("spans")).alias("spans"))
+                        joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
