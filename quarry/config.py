@@ -50,6 +50,14 @@ class RetrievalConfig:
     abstain_top1: float = 0.15
     abstain_top5_sum: float = 0.50
     abstain_gap: float = 0.03
+    # question splitting and validation queries: limits of the behaviour being reproduced; the
+    # operators return a ``truncated`` flag where one of them cuts something off
+    max_question_chars: int = 6000
+    max_parts: int = 5
+    max_subqs: int = 3
+    max_json_items: int = 5
+    max_json_chars: int = 200
+    concept_words: int = 20
     # gates and validation
     min_similarity: float = 0.40
     api_min_similarity: float = 0.48

@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.config import DEFAULT
+
 # ---- fixed values
 CONJUNCTION_SPLIT = r"(?i)\?\s+(?:and|also|additionally|plus|furthermore)\s+"
 CONJUNCTION_DETECT = r"(?i)\?\s+(and|also|additionally|plus|furthermore)\s+[\p{L}\p{N}_]"
 BULLET_LINE = [r"^\s*[-•]\s+", r"^\s*\d+[\.)]\s+"]
 ANALYTICAL_KEYWORDS = ["trade-off", "tradeoff", "compare", "comparison", "versus", " vs ", " vs."]
 LINE_MARKERS = ["-", "•", "1.", "2.", "3."]
-MAX_CHARS = 6000
 
 
 def _strip(c: Column) -> Column:
@@ -28,9 +29,9 @@ def _count(c: Column, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
-def detect_multi_question(text: Column) -> Column:
-    """Does the (trimmed to 6000 chars, stripped) text hold several questions?"""
-    t = _strip(F.substring(text, 1, MAX_CHARS))
+def detect_multi_question(text: Column, max_chars: int = DEFAULT.max_question_chars) -> Column:
+    """Does the (trimmed to ``max_chars``, stripped) text hold several questions?"""
+    t = _strip(F.substring(text, 1, max_chars))
     lines = F.split(t, "\n")
     qmarks = _count(t, "?")
     conj = t.rlike(CONJUNCTION_DETECT)
@@ -52,10 +53,10 @@ def _cap(splits: Column, max_parts: int) -> Column:
     return F.when(F.size(splits) > max_parts, capped).otherwise(splits)
 
 
-def split_questions(text: Column, max_parts: int = 5) -> Column:
+def split_questions(text: Column, max_parts: int = DEFAULT.max_parts, max_chars: int = DEFAULT.max_question_chars) -> Column:
     """C11: candidate splits, in order of preference: conjunction splits, ``?``
-    splits, bullet/numbered lines, ``;``/newline parts; capped."""
-    t = _strip(F.substring(text, 1, MAX_CHARS))
+    splits, bullet/numbered lines, ``;``/newline parts; parts beyond ``max_parts`` are merged, none is dropped."""
+    t = _strip(F.substring(text, 1, max_chars))
     parts = F.split(t, CONJUNCTION_SPLIT)
     conj_splits = F.concat(F.array(_strip(F.try_element_at(parts, F.lit(1)))),
                            F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))),
@@ -72,19 +73,20 @@ def split_questions(text: Column, max_parts: int = 5) -> Column:
     fallback = F.filter(F.transform(F.split(F.replace(t, F.lit(";"), F.lit("\n")), "\n"), _strip),
                         lambda p: p != "")
     other = F.when(F.size(q_parts) > 1, q_parts).when(F.size(cleaned) > 0, cleaned).otherwise(fallback)
-    out = F.when(use_conj, F.slice(conj_splits, 1, max_parts)).otherwise(_cap(other, max_parts))
+    out = _cap(F.when(use_conj, conj_splits).otherwise(other), max_parts)
     return F.when(F.size(out) > 0, out).otherwise(F.array(t))
 
 
-def candidate_splits(text: Column, max_parts: int = 5) -> Column:
+def candidate_splits(text: Column, max_parts: int = DEFAULT.max_parts, max_chars: int = DEFAULT.max_question_chars) -> Column:
     """C10 + C11: the splits when several questions are detected, else the text."""
-    return F.when(detect_multi_question(text), split_questions(text, max_parts)).otherwise(
-        F.array(_strip(F.substring(text, 1, MAX_CHARS))))
+    return F.when(detect_multi_question(text, max_chars), split_questions(text, max_parts, max_chars)).otherwise(
+        F.array(_strip(F.substring(text, 1, max_chars))))
 
 
-def parse_subquestion_json(response: Column, submitted: Column) -> Column:
-    """``sub_questions`` from a fenced or bare JSON response (<= 5 items,
-    trimmed, <= 200 chars, strings only); an object without usable items -> [submitted]; broken JSON
+def parse_subquestion_json(response: Column, submitted: Column, max_items: int = DEFAULT.max_json_items,
+                           max_chars: int = DEFAULT.max_json_chars) -> Column:
+    """``sub_questions`` from a fenced or bare JSON response (<= ``max_items`` items,
+    trimmed, <= ``max_chars`` chars, strings only); an object without usable items -> [submitted]; broken JSON
     or no object -> the C10/C11 candidate splits of the submitted text."""
     r = _strip(F.coalesce(response, F.lit("")))
     fenced_json = F.regexp_extract(r, r"(?is)```json(.*?)```", 1)
@@ -94,22 +96,26 @@ def parse_subquestion_json(response: Column, submitted: Column) -> Column:
     parsed = F.try_parse_json(body)
     kind = F.schema_of_variant(parsed)
     given = F.try_variant_get(parsed, "$.sub_questions", "array<variant>")
-    texts = F.transform(F.filter(F.slice(given, 1, 5), lambda v: F.schema_of_variant(v) == "STRING"),
-                        lambda v: F.substring(_strip(F.variant_get(v, "$", "string")), 1, 200))
+    texts = F.transform(F.filter(F.slice(given, 1, max_items), lambda v: F.schema_of_variant(v) == "STRING"),
+                        lambda v: F.substring(_strip(F.variant_get(v, "$", "string")), 1, max_chars))
     clean = F.filter(texts, lambda q: q != "")
     usable = kind.startswith("OBJECT") & (given.isNotNull() | ~kind.contains("sub_questions: "))
-    return (F.when(~F.coalesce(usable, F.lit(False)), candidate_splits(submitted, 5))
+    return (F.when(~F.coalesce(usable, F.lit(False)), candidate_splits(submitted))
             .when(F.coalesce(F.size(clean), F.lit(0)) > 0, clean).otherwise(F.array(submitted)))
 
 
-def decompose(questions: DataFrame, max_subqs: int = 3, text_col: str = "question") -> DataFrame:
-    """One row per sub-question: (question_id, mode, sub_no, sub_question).
-    Detection uses max_parts = max_subqs; the splits use max_parts 5, cut to max_subqs."""
+def decompose(questions: DataFrame, max_subqs: int = DEFAULT.max_subqs, text_col: str = "question",
+              max_parts: int = DEFAULT.max_parts, max_chars: int = DEFAULT.max_question_chars) -> DataFrame:
+    """One row per sub-question: (question_id, mode, truncated, sub_no, sub_question). The splits are
+    cut to ``max_subqs``; ``truncated`` tells that a split, or text beyond ``max_chars`` of a multi-question,
+    is in no sub-question (a single question is kept whole)."""
     q = F.col(text_col)
-    multi = detect_multi_question(q)
-    subs = F.when(multi, F.slice(candidate_splits(q, 5), 1, max_subqs)).otherwise(F.array(q))
+    multi = detect_multi_question(q, max_chars)
+    parts = candidate_splits(q, max_parts, max_chars)
+    subs = F.when(multi, F.slice(parts, 1, max_subqs)).otherwise(F.array(q))
+    cut = F.coalesce(multi & ((F.size(parts) > max_subqs) | (F.length(q) > max_chars)), F.lit(False))
     return questions.select("question_id", F.when(multi, "multi").otherwise("single").alias("mode"),
-                            F.posexplode(subs).alias("sub_no", "sub_question"))
+                            cut.alias("truncated"), F.posexplode(subs).alias("sub_no", "sub_question"))
 
 
 def decomposition_report(subs: DataFrame, status: DataFrame | None = None) -> DataFrame:

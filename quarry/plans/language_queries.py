@@ -89,13 +89,10 @@ def q_protected_words(spark, sf):
 
 
 @register("edit_distance", """
-SELECT p_partkey, c_custkey, levenshtein(p_name, c_mktsegment) AS distance
-FROM part JOIN customer ON p_partkey = c_custkey""")
+SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part""")
 def q_edit_distance(spark, sf):
-    """D3: Levenshtein distance of paired strings (part name vs customer segment)."""
-    p, c = table(spark, sf, "part"), table(spark, sf, "customer")
-    return p.join(c, p.p_partkey == c.c_custkey).select("p_partkey", "c_custkey",
-                                                        F.levenshtein("p_name", "c_mktsegment").alias("distance"))
+    """D3: Levenshtein distance of paired strings (name and type of every part)."""
+    return table(spark, sf, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance"))
 
 
 # ---------------------------------------------------------------- D4, D5
@@ -195,7 +192,8 @@ mq AS (SELECT p_partkey AS question_id, CASE p_partkey % 6
 SQL_MQ_SPLIT = "WITH " + SQL_MQ.strip() + f""",
 sp AS (SELECT question_id, question, {S.detect_sql('question')} AS multi, {S.split_sql('question')} AS parts FROM mq),
 dc AS (SELECT question_id, CASE WHEN multi THEN 'multi' ELSE 'single' END AS mode,
-              CASE WHEN multi THEN parts[1:3] ELSE [question] END AS subs FROM sp)
+              CASE WHEN multi THEN parts[1:3] ELSE [question] END AS subs,
+              coalesce(multi AND (len(parts) > 3 OR length(question) > 6000), false) AS truncated FROM sp)
 """
 
 
@@ -251,7 +249,7 @@ def q_parse_subquestion_json(spark, sf):
 
 
 @register("decompose", SQL_MQ_SPLIT + """
-SELECT question_id, mode, CAST(unnest(generate_series(0, len(subs) - 1)) AS INTEGER) AS sub_no,
+SELECT question_id, mode, truncated, CAST(unnest(generate_series(0, len(subs) - 1)) AS INTEGER) AS sub_no,
        unnest(subs) AS sub_question FROM dc""")
 def q_decompose(spark, sf):
     """Sub-questions (at most 3) with the mode flag."""

@@ -165,9 +165,11 @@ def split_sql(q: str, max_parts: int = 5) -> str:
     fallback = (f"list_filter(list_transform(string_split(replace({t}, ';', chr(10)), chr(10)), lambda p: {strip_ws('p')}), "
                 f"lambda p: p <> '')")
     other = f"(CASE WHEN len({q_parts}) > 1 THEN {q_parts} WHEN len({cleaned}) > 0 THEN {cleaned} ELSE {fallback} END)"
-    capped = (f"(CASE WHEN len({other}) > {max_parts} THEN {other}[1:{max_parts - 1}] || "
-              f"['Additionally: ' || array_to_string({other}[{max_parts}:], '; ')] ELSE {other} END)")
-    out = f"(CASE WHEN {use_conj} THEN {conj_splits}[1:{max_parts}] ELSE {capped} END)"
+    def capped(splits):
+        return (f"(CASE WHEN len({splits}) > {max_parts} THEN {splits}[1:{max_parts - 1}] || "
+                f"['Additionally: ' || array_to_string({splits}[{max_parts}:], '; ')] ELSE {splits} END)")
+
+    out = f"(CASE WHEN {use_conj} THEN {capped(conj_splits)} ELSE {capped(other)} END)"
     return f"(CASE WHEN len({out}) > 0 THEN {out} ELSE [{t}] END)"
 
 

@@ -35,6 +35,19 @@ def test_split_caps_and_merges(spark):
     assert parts == ["a?", "b?", "c?", "d?", "Additionally: e?; f?; g?"]
 
 
+def test_conjunction_splits_are_merged_not_dropped(spark):
+    text = "a? and b? also c? plus d? furthermore e? and f? and g"
+    df = spark.createDataFrame([(1, text), (2, "a? and b"), (3, None)], "question_id int, question string")
+    parts = df.select(C.split_questions(F.col("question"), 5)).first()[0]
+    assert parts == ["a", "b?", "c?", "d?", "Additionally: e?; f?; g?"]
+    flags = {r.question_id: r.truncated for r in C.decompose(df).collect()}
+    assert flags[1] is True and flags[2] is False
+    assert {r.truncated for r in C.decompose(df.where("question_id = 1"), max_subqs=5).collect()} == {False}
+    long = spark.createDataFrame([(1, "x" * 6000 + "? and b? also c")], "question_id int, question string")
+    assert {r.truncated for r in C.decompose(long, max_chars=7000).collect()} == {False}
+    assert len(C.decompose(long, max_chars=7000).collect()) == 3
+
+
 def test_parse_subquestion_json(spark):
     df = spark.createDataFrame([('```json\n{"sub_questions": ["x", " y "]}\n```', "q"), ("not json", "What? Why?")],
                                "r string, q string")
