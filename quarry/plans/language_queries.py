@@ -113,19 +113,56 @@ def benchmark_oov(spark, sf, d=None):
             .join(d.select(F.col("word").alias("token")), "token", "left_anti"))
 
 
-@register("closest_word", SQL_OOV + """,
-c0 AS (SELECT token, word, freq FROM oov, dict WHERE abs(length(token) - length(word)) <= 3),
-c AS (SELECT token, word, freq, """ + S.char_levenshtein("token", "word") + """ AS distance FROM c0
-      WHERE """ + S.char_levenshtein("token", "word") + """ <= 3),
+# Distances with swaps: the unrestricted one bounds the restricted one from below, which is then built row by row.
+SQL_NEAR = """,
+near AS (SELECT token, word, freq, length(token) AS la, length(word) AS lb FROM oov, dict
+         WHERE abs(length(token) - length(word)) <= 3 AND """ + S.char_levenshtein("token", "word").replace("levenshtein(", "damerau_levenshtein(") + """ <= 3),
+dp AS (SELECT token, word, freq, la, lb, 0 AS i, range(0, lb + 1) AS last, range(0, lb + 1) AS before FROM near
+       UNION ALL
+       SELECT token, word, freq, la, lb, i + 1, list_transform(range(0, lb + 1), lambda j: j + list_min(
+                  list_transform(range(0, j + 1), lambda k: down[k + 1] - k))), last
+       FROM (SELECT *, list_transform(range(0, lb + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(
+                 last[j + 1] + 1, last[j] + CASE WHEN substr(token, i + 1, 1) = substr(word, j, 1) THEN 0 ELSE 1 END,
+                 CASE WHEN i > 0 AND j > 1 AND substr(token, i + 1, 1) = substr(word, j - 1, 1)
+                           AND substr(token, i, 1) = substr(word, j, 1) THEN before[j - 1] + 1 ELSE 1000 END) END) AS down
+             FROM dp WHERE i < la)),
+c AS (SELECT token, word, freq, CAST(last[lb + 1] AS INTEGER) AS distance FROM dp WHERE i = la AND last[lb + 1] <= 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, freq DESC, word) AS rn FROM c)
-SELECT token, word AS best, distance, freq AS best_freq FROM r WHERE rn = 1""")
+"""
+
+
+@register("closest_word", SQL_OOV.replace("WITH ", "WITH RECURSIVE ", 1) + SQL_NEAR
+          + " SELECT token, word AS best, distance, freq AS best_freq FROM r WHERE rn = 1")
 def q_closest_word(spark, sf):
-    """Nearest dictionary word of every out-of-dictionary benchmark word
-    (symmetric-delete join; the oracle is a brute-force scan)."""
+    """Nearest dictionary word of every out-of-dictionary benchmark word, a swap being one edit
+    (symmetric-delete joins in rounds; the oracle is a brute-force scan)."""
     d = dictionary(spark, sf)
     return D.closest_words(benchmark_oov(spark, sf, d), d)
 
 
+@register("word_splits", SQL_DICT + f""",
+b AS (SELECT {TOK.format(c='text')} AS l FROM benchmark),
+two AS (SELECT DISTINCT unnest(list_transform(range(1, len(l)), lambda i: {{'a': l[i], 'b': l[i + 1]}})) AS w FROM b),
+lost AS (SELECT DISTINCT w.a || w.b AS token FROM two WHERE w.a IN (SELECT word FROM dict) AND w.b IN (SELECT word FROM dict)
+         AND w.a || w.b NOT IN (SELECT word FROM dict) AND length(w.a || w.b) <= {D.SPLIT_CHARS}),
+p AS (SELECT token, x.word || ' ' || y.word AS split, round(round(-ln(x.freq), 9) - ln(y.freq), 9) AS cost
+      FROM (SELECT token, unnest(range(1, length(token))) AS i FROM lost)
+      JOIN dict x ON x.word = left(token, i) JOIN dict y ON y.word = substr(token, i + 1))
+SELECT token, split, 2 AS parts FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY cost, split) AS rn FROM p)
+WHERE rn = 1""")
+def q_word_splits(spark, sf):
+    """Neighbouring known words of the benchmark items written without their blank, split again."""
+    d = dictionary(spark, sf)
+    words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")
+    pairs = table(spark, sf, "benchmark").select(words.alias("l")).select(F.explode(F.transform(
+        F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))),
+        lambda x, i: F.struct(F.get("l", i).alias("a"), x.alias("b")))).alias("w")).select("w.a", "w.b").distinct()
+    known = d.select("word")
+    lost = pairs.join(known.withColumnRenamed("word", "a"), "a").join(known.withColumnRenamed("word", "b"), "b")
+    lost = lost.select(F.concat("a", "b").alias("token")).distinct().join(known.withColumnRenamed("word", "token"), "token", "left_anti")
+    return D.word_splits(lost, d)
+
+
 @register("match_custom_terms", SQL_OOV + """,
 tf AS (SELECT word AS cterm, min(CASE WHEN word = term THEN 0 ELSE 1 END) AS form FROM forms GROUP BY word),
 c AS (SELECT token, cterm, form, CASE WHEN upper(token) = upper(cterm) THEN 0 ELSE 1 END AS d FROM oov, tf
