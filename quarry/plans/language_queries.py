@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quarry.operators import decompose as C
 from quarry.operators import spelling as D
 from quarry.plans import sqlgen as S
-from quarry.plans.registry import register, rounded
+from quarry.plans import entity_queries  # noqa: F401  (its oracles are used below)
+from quarry.plans.registry import ORACLES, register, rounded
 from quarry.sources.kb import benchmark_questions
 from quarry.sources.tables import table
 
@@ -174,6 +175,35 @@ def q_match_custom_terms(spark, sf):
     return D.match_custom_terms(benchmark_oov(spark, sf), custom_terms(spark, sf))
 
 
+def typo_names(spark, sf):
+    from quarry.operators import generate as I
+    from quarry.plans.entity_queries import direct_questions_all
+    return I.entity_name_typo(direct_questions_all(spark, sf)).select("entity_name", "entity_name_with_typo")
+
+
+def _words(names, col):
+    return names.select(F.explode(F.split(col, r"\s+")).alias("w")).where("w <> ''").distinct()
+
+
+@register("match_typo_terms", f"""
+WITH names AS ({ORACLES["entity_name_typo"]}),
+terms AS (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(entity_name, '\\s+')) AS term FROM names) WHERE term <> ''),
+tok AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(entity_name_with_typo, '\\s+')) AS token FROM names)
+        WHERE token <> ''),
+forms AS (SELECT word AS cterm, min(CASE WHEN word = term THEN 0 ELSE 1 END) AS form
+          FROM (SELECT term, unnest([term, upper(term), lower(term)]) AS word FROM terms) GROUP BY word),
+c AS (SELECT token, cterm, form, CASE WHEN upper(token) = upper(cterm) THEN 0 ELSE 1 END AS d FROM tok, forms
+      WHERE abs(length(token) - length(cterm)) <= 1 AND (upper(token) = upper(cterm) OR (length(cterm) >= 4 AND """
+          + S.char_levenshtein("upper(token)", "upper(cterm)") + """ = 1))),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, form, cterm) AS rn FROM c)
+SELECT token, cterm AS custom, d AS custom_distance FROM r WHERE rn = 1""")
+def q_match_typo_terms(spark, sf):
+    """Words of the entity names with a typo against the words of the names as custom terms."""
+    names = typo_names(spark, sf)
+    return D.match_custom_terms(_words(names, "entity_name_with_typo").withColumnRenamed("w", "token"),
+                                _words(names, "entity_name").withColumnRenamed("w", "term"))
+
+
 # ---------------------------------------------------------------- D6-D9
 
 
