@@ -81,3 +81,14 @@ def test_gold_joins_only_the_questions_tokens(spark, monkeypatch):
     got = {tuple(r) for r in verbatim_gold(asked, docs).collect()}
     assert got == {(1, 1), (2, 1), (2, 2)}
     assert dict(names)["gold-candidates"] == 3
+
+
+def test_known_names_do_not_shuffle_the_questions_grams(spark):
+    from quarry.operators import questions as C
+    asked = spark.createDataFrame([(1, "what is red bolt here"), (2, "a valve and red"), (3, None)], "question_id long, question string")
+    known = spark.createDataFrame([("Red Bolt",), ("valve",), (" ",), (None,)], "name string")
+    out = C.extract_anchors_extended(asked, known=known)
+    got = {r.question_id: r.anchors_ext for r in out.collect()}
+    assert "red bolt" in got[1] and "valve" in got[2] and "red bolt" not in got[2]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "known-grams" in plan and any("BroadcastHashJoin [gram" in line for line in plan.splitlines())
